@@ -37,3 +37,17 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import token_digest
 
     return token_digest(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+@query
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import balanced_shards
+
+    return balanced_shards(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import fingerprint_report
+
+    return fingerprint_report(table(spark, sf_dir, "documents"))

@@ -54,11 +54,11 @@ def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def curve_key(ids: np.ndarray, signs: np.ndarray, bits: int = BITS) -> int:
-    """The curve place of one document; one without ids lies in the middle of the space."""
-    spread = signs[ids].sum(axis=0, dtype=np.int64) / max(1.0, len(ids)) ** 0.5 if len(ids) else np.zeros(signs.shape[1])
+def curve_keys(documents: list[np.ndarray], signs: np.ndarray, bits: int = BITS) -> list[int]:
+    """The curve places of documents (arrays of ids); one without ids lies in the middle of the space."""
+    spread = np.array([signs[ids].sum(axis=0, dtype=np.int64) / max(1, len(ids)) ** 0.5 for ids in documents])
     cells = np.clip((np.tanh(spread / 4) + 1) / 2 * (1 << bits), 0, (1 << bits) - 1).astype(np.int64)
-    return int(hilbert_key(cells[None, :], bits)[0])
+    return hilbert_key(cells, bits).tolist()
 
 
 def sign_table(vocabulary: int, dimensions: int = DIMENSIONS, seed: int = SEED) -> np.ndarray:
@@ -85,7 +85,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end: int = 2, voca
                 row_ids = [(part << 36) + no + i for i in range(n)]
                 no += n
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row_ids, pa.int64()), pa.array(doc_ids[lo : lo + 500], pa.int64()), pa.array([curve_key(x[:-1], signs) for x in ids], pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
+                    [pa.array(row_ids, pa.int64()), pa.array(doc_ids[lo : lo + 500], pa.int64()), pa.array(curve_keys([x[:-1] for x in ids], signs), pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
                     ["row_id", "doc_id", "curve_key", "doc_tokens", "ids"],
                 )
 

@@ -65,3 +65,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import decontaminate
 
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit_on, identify
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, fit_on(docs))

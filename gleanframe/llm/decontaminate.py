@@ -155,13 +155,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold:
     without words. An item of fewer than ``k`` words must appear whole. Rows of equal doc_id or
     item_id stand each for itself; items without an id are left out, as nothing could name them.
     """
-    items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-size // BLOCK_BYTES) or 1
     found = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("items"), F.lit(0.0).alias("coverage"))
-    for b in range(blocks):
-        # Each block is about BLOCK_BYTES, whatever the size of the benchmark.
-        block = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()]
+    for block in item_blocks(benchmark):
         found = found.mapInArrow(_scan(block, k, threshold), "doc_id long, text string, n_words long, items array<long>, coverage double")
     return found.select("doc_id", "n_words", F.array_sort("items").alias("items"), "coverage", (F.size("items") > 0).alias("contaminated"))
 
@@ -190,3 +185,32 @@ def _scan(block: list[tuple[int, str]], k: int, threshold: float):
             )
 
     return run
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, that leak no item of ``benchmark``."""
+    at = docs.columns.index("text")
+
+    def kept(block: list[tuple[int, str]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tests = Benchmark(block, k)
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 500):
+                    piece = batch.slice(lo, 500)
+                    keep = [not found for _, found in tests.leaks(piece.column(at).to_pylist(), threshold)]
+                    yield piece.filter(pa.array(keep))
+
+        return run
+
+    for block in item_blocks(benchmark):
+        docs = docs.mapInArrow(kept(block), docs.schema)
+    return docs
+
+
+def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items with id and text, in blocks of about BLOCK_BYTES, whatever the size of the benchmark."""
+    items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = -(-size // BLOCK_BYTES) or 1
+    for b in range(blocks):
+        yield [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()]

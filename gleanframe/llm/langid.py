@@ -266,3 +266,17 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([g for g, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is known; those labelled ``und`` go."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                piece = batch.slice(lo, 1000)
+                keep = [g != "und" for g, _ in predict(model, piece.column(at).to_pylist())]
+                yield piece.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -255,3 +255,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     out = sketch.select("doc_id", "n", "h1", "h2").join(final.withColumnRenamed("size", "n"), ["h1", "h2", "n"], "left")
     out = out.withColumn("component_id", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, whose document stands for its group (any row of that doc_id)."""
+    kept = near_duplicates(docs, k, percent).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")

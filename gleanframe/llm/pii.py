@@ -80,7 +80,7 @@ def surrogate(value: Column, of: Column, key: str, attempt: int) -> Column:
     octet = lambda i: F.pmod(F.xxhash64(seed, F.lit(i)), F.lit(256)).cast("string")
     # The private network first; where it fills up, all of the address space.
     address = F.concat_ws(".", F.lit("10") if attempt < 8 else octet(0), octet(1), octet(2), octet(3))
-    title = F.regexp_extract(value, rf"^(?:{MALE}|{FEMALE})\.?", 0)
+    title = F.substring_index(value, " ", 1)
     woman, cyrillic, two = title.rlike(rf"^(?:{FEMALE})\.?$"), F.substring(value, F.char_length(title) + 1, F.lit(99)).rlike(r"\p{IsCyrillic}"), F.size(F.split(value, " ")) > 2
     first = F.when(cyrillic & woman, _name(seed, 1, FIRST["cyrillic", "f"])).when(cyrillic, _name(seed, 1, FIRST["cyrillic", "m"])).when(woman, _name(seed, 1, FIRST["latin", "f"])).otherwise(_name(seed, 1, FIRST["latin", "m"]))
     family = lambda s, at: F.concat(*[_name(seed, at + i, part) for i, part in enumerate(SURNAME[s])])

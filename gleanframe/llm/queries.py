@@ -90,3 +90,30 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pseudonymize(docs, KEY, count="n_entities", kinds="kinds")
+
+
+@query
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import collapse
+
+    return collapse(table(spark, sf_dir, "conversations"))
+
+
+SQL["op9_chat"] = r"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS place,
+         count(*) OVER (PARTITION BY conv_id) AS n_turns
+  FROM conversations
+), whole AS (
+  SELECT conv_id, any_value(n_turns) AS n, list({'r': role, 't': text} ORDER BY place) AS body FROM turns GROUP BY conv_id
+), firsts AS (
+  SELECT body, n, min(conv_id) AS conv_id FROM whole GROUP BY body, n
+), kept AS (
+  SELECT f.conv_id FROM firsts f
+  WHERE NOT EXISTS (SELECT 1 FROM whole w WHERE w.n > f.n AND w.body[1] = f.body[1] AND w.body[1:f.n] = f.body)
+)
+SELECT conv_id, place, n_turns, role, text,
+       '<|' || lower(trim(role)) || '|>' || chr(10) || replace(replace(text, '<|', '<'), '|>', '>') || '<|end|>' || chr(10) AS rendered
+FROM turns WHERE conv_id IN (SELECT conv_id FROM kept)
+"""

@@ -2,5 +2,234 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from gleanframe.functions import text as tx
+from gleanframe.functions.identity import listing_id
+from gleanframe.functions.numbers import as_number, number_text
+from gleanframe.operators import collect, predicates, rules
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def listed(words) -> str:
+    return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
+
+
+IDENTITY = r"""
+WITH n AS (SELECT *, trim(regexp_replace(replace(lower(source), 'ß', 'ss'), '[^\p{L}\p{N}]+', ' ', 'g')) AS c,
+  trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\p{L}\p{N}]+', ' ', 'g')) AS t,
+  trim(regexp_replace(replace(lower(lang), 'ß', 'ss'), '[^\p{L}\p{N}]+', ' ', 'g')) AS l FROM documents),
+ids AS (SELECT *, CASE WHEN c || t || l <> '' THEN 'sha256:' || left(sha256(c || chr(31) || t || chr(31) || l), 32) END AS job_id FROM n)
+"""
+CONTENT = IDENTITY.replace("sha256(c || chr(31) || t || chr(31) || l)", "sha256(chr(31) || t || chr(31))").replace("c || t || l", "t")
+
+
+def with_identity(docs: DataFrame, company: bool = True) -> DataFrame:
+    none = F.lit(None).cast("string")
+    return docs.withColumn("job_id", listing_id(F.col("source") if company else none, F.col("text"), F.col("lang") if company else none))
+
+
+@query(r"SELECT doc_id, nullif(trim(regexp_replace(text, '\s+', ' ', 'g')), '') AS text FROM documents")
+def collapse_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.collapse(F.col("text")).alias("text"))
+
+
+@query(r"""WITH c AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)
+SELECT doc_id, CASE WHEN length(t) > 600 THEN rtrim(left(t, 600)) || '…' ELSE t END AS text FROM c""")
+def truncate_ellipsis(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.shorten(tx.collapse(F.col("text")), 600).alias("text"))
+
+
+@query(IDENTITY + "SELECT doc_id, job_id FROM ids")
+def normalized_identity(spark, sf_dir):
+    return with_identity(table(spark, sf_dir, "documents")).select("doc_id", "job_id")
+
+
+@query("""SELECT event_id, coalesce(nullif(trim(json_extract_string(props, '$.name')), ''), nullif(trim(json_extract_string(props, '$.k')), ''), nullif(trim(event_type), ''), '') AS found FROM events""")
+def alias_coalesce(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", tx.first_present(F.get_json_object("props", "$.name"), F.get_json_object("props", "$.k"), F.col("event_type")).alias("found"))
+
+
+@query(r"SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)), '^www\.', '') AS host, string_split(url, '#')[1] AS url FROM pages")
+def host_of(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", tx.host(F.col("url")).alias("host"), tx.without_fragment(F.col("url")).alias("url"))
+
+
+@query(rf"""WITH p AS (SELECT page_id, replace(url, '/en/', '/jobs/') AS u FROM pages),
+s AS (SELECT page_id, u, list_filter(string_split(lower(regexp_extract(u, '^[a-z]+://[^/?#]*([^?#]*)', 1)), '/'), lambda x: x <> '') AS seg,
+  list_filter(string_split(lower(regexp_extract(u, '^[^?#]*\?([^#]*)', 1)), '&'), lambda x: regexp_matches(x, '^[^=]*=.')) AS par FROM p),
+k AS (SELECT *, list_filter(range(1, len(seg) + 1), lambda i: list_contains({list(predicates.JOB_SEGMENTS)}, seg[i]))[1] AS at,
+  len(list_filter(par, lambda x: list_contains({list(predicates.INDEX_QUERY_KEYS)}, string_split(x, '=')[1]))) > 0 AS idx,
+  len(list_filter(par, lambda x: list_contains({list(predicates.ID_QUERY_KEYS)}, string_split(x, '=')[1]) AND regexp_matches(string_split(x, '=')[2], '\d{{3}}'))) > 0 AS idk,
+  len(list_filter(seg, lambda x: list_contains({list(predicates.INDEX_SEGMENTS)}, x))) > 0 AS bad FROM s)
+SELECT page_id, coalesce(len(seg) > 0 AND NOT idx AND NOT bad AND at IS NOT NULL AND len(seg) > at
+  AND (len(list_filter(seg[at + 1:], lambda x: regexp_matches(x, '\d{{3}}'))) > 0 OR idk OR (seg[-1] LIKE '%-%' AND length(seg[-1]) >= 8)), false) AS is_posting FROM k""")
+def posting_url(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", F.replace("url", F.lit("/en/"), F.lit("/jobs/")).alias("url"))
+    return pages.select("page_id", predicates.is_posting_url(F.col("url"), tx.host(F.col("url"))).alias("is_posting"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, string_split(text, chr(10))[1] AS title FROM documents)
+SELECT doc_id, length(title) BETWEEN 5 AND 120 AND NOT regexp_matches(title, '^(all|more|view|see|browse|show|next|prev|previous|back|home|jobs|careers|vacancies|positions|login|register|sign in|sign up|apply)\b', 'i')
+  AND length(title) - length(replace(title, ' ', '')) <= 20 AS plausible FROM t""")
+def plausible_title(spark, sf_dir):
+    first = F.get(F.split("text", "\n"), 0)
+    return table(spark, sf_dir, "documents").select("doc_id", predicates.plausible_title(first).alias("plausible"))
+
+
+@query(CONTENT + "SELECT doc_id, job_id FROM ids QUALIFY job_id IS NULL OR row_number() OVER (PARTITION BY job_id ORDER BY doc_id) = 1")
+def dedup_first_wins(spark, sf_dir):
+    docs = with_identity(table(spark, sf_dir, "documents"), company=False).select("doc_id", "job_id")
+    return collect.first_wins(docs, "job_id", ["doc_id"])
+
+
+@query("SELECT d.doc_id, d.source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def history_anti_join(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@query("""WITH f AS (SELECT user_id, min(event_id) AS seq FROM events WHERE user_id IS NOT NULL GROUP BY user_id)
+SELECT user_id, seq FROM f QUALIFY row_number() OVER (ORDER BY seq DESC) <= 100""")
+def bounded_fifo(spark, sf_dir):
+    from gleanframe.streaming.history import newest
+
+    first = table(spark, sf_dir, "events").where("user_id is not null").groupBy("user_id").agg(F.min("event_id").alias("seq"))
+    return newest(first, 100)
+
+
+@query("SELECT doc_id, source, lang FROM documents QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) <= 5")
+def bucket_quota(spark, sf_dir):
+    return collect.quota(table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), ["source", "lang"], ["doc_id"], 5)
+
+
+FAIR = """WITH a AS (SELECT doc_id, source, lang, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS d FROM {rows}),
+b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY d, lang) AS site_rank FROM a WHERE d <= 10),
+c AS (SELECT *, row_number() OVER (ORDER BY site_rank, source) AS position FROM b WHERE site_rank <= 10)
+SELECT doc_id, source, lang, CAST(site_rank AS INTEGER) AS site_rank, CAST(position AS INTEGER) AS position FROM c WHERE position <= 200"""
+
+
+@query(FAIR.format(rows="documents"))
+def fair_interleave(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    return collect.fair_feed(docs, "source", "lang", ["doc_id"], 10, 20).select("doc_id", "source", "lang", "site_rank", "position")
+
+
+@query()
+def greedy_quota_dedup(spark, sf_dir):
+    docs = with_identity(table(spark, sf_dir, "documents"), company=False).select("doc_id", "source", "job_id")
+    return collect.greedy_quota(docs, "source", "job_id", "doc_id", 20)
+
+
+@query("""WITH s AS (SELECT r_regionkey AS site_idx, r_name AS name, CASE WHEN r_regionkey % 2 = 0 THEN 'https://' || lower(r_name) || '.example/jobs?q={query}&p={page}' ELSE 'https://' || lower(r_name) || '.example/all?p={page}' END AS search_url FROM region),
+t AS (SELECT n_nationkey AS term_idx, n_name AS term FROM nation), p AS (SELECT unnest(range(1, 4)) AS page),
+m AS (SELECT * FROM p, t, s)
+SELECT CAST(page AS INTEGER) AS page, term_idx, site_idx, name, replace(replace(search_url, '{query}', replace(replace(term, '%', '%25'), ' ', '+')), '{page}', CAST(page AS VARCHAR)) AS url FROM m
+QUALIFY search_url LIKE '%{query}%' OR row_number() OVER (PARTITION BY search_url, page ORDER BY term_idx, site_idx) = 1""")
+def request_matrix(spark, sf_dir):
+    from gleanframe.sources.requests import request_table
+
+    name = F.lower("r_name")
+    sites = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("site_idx"), F.col("r_name").alias("name"), F.when(F.col("r_regionkey") % 2 == 0, F.concat(F.lit("https://"), name, F.lit(".example/jobs?q={query}&p={page}"))).otherwise(F.concat(F.lit("https://"), name, F.lit(".example/all?p={page}"))).alias("search_url"))
+    terms = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("term_idx"), F.col("n_name").alias("term"))
+    return request_table(sites, terms, 3).select("page", "term_idx", "site_idx", "name", "url")
+
+
+def verdicts(df: DataFrame, ruleset: dict, *keys: str) -> DataFrame:
+    return rules.apply_rules(df, ruleset).select(*keys, "passed", F.concat_ws("; ", "reasons").alias("why"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_quantity BETWEEN 5 AND 45 AS passed,
+CASE WHEN l_quantity < 5 THEN 'l_quantity ' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || ' is below the minimum 5' WHEN l_quantity > 45 THEN 'l_quantity ' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || ' is above the maximum 45' ELSE '' END AS why FROM lineitem""")
+def rule_min_max(spark, sf_dir):
+    return verdicts(table(spark, sf_dir, "lineitem"), {"l_quantity": {"min": 5, "max": 45}}, "l_orderkey", "l_linenumber")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_discount >= CASE l_returnflag WHEN 'A' THEN 0.03 WHEN 'R' THEN 0.05 ELSE 0.01 END AS passed FROM lineitem""")
+def rule_dependent_bound(spark, sf_dir):
+    return rules.apply_rules(table(spark, sf_dir, "lineitem"), {"l_discount": {"min_by": {"field": "l_returnflag", "map": {"A": 0.03, "R": 0.05}, "default": 0.01}}}).select("l_orderkey", "l_linenumber", "passed")
+
+
+@query("""SELECT o_orderkey, lower(trim(o_orderpriority)) IN ('1-urgent', '2-high') AND o_orderstatus <> 'F' AS passed,
+concat_ws('; ', CASE WHEN lower(trim(o_orderpriority)) NOT IN ('1-urgent', '2-high') THEN 'o_orderpriority ' || o_orderpriority || ' is not allowed' END, CASE WHEN o_orderstatus = 'F' THEN 'o_orderstatus F is blocked' END) AS why FROM orders""")
+def rule_allowed_blocked(spark, sf_dir):
+    return verdicts(table(spark, sf_dir, "orders"), {"o_orderpriority": {"allowed": ["1-Urgent", " 2-HIGH "]}, "o_orderstatus": {"blocked": ["f"]}}, "o_orderkey")
+
+
+@query("""SELECT p_partkey, NOT (contains(lower(p_name), 'a') OR contains(lower(p_name), 'e')) AND (contains(lower(p_type), 'steel') OR contains(lower(p_type), 'tin')) AS passed FROM part""")
+def rule_text_any(spark, sf_dir):
+    return rules.apply_rules(table(spark, sf_dir, "part"), {"p_name": {"excludes_any": ["A", "e"]}, "p_type": {"includes_any": ["STEEL", "tin"]}}).select("p_partkey", "passed")
+
+
+@query("""SELECT doc_id, len(string_split(text, ' ')) BETWEEN 20 AND 500 AS passed FROM documents""")
+def rule_items(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("words"))
+    return rules.apply_rules(docs, {"words": {"min_items": 20, "max_items": 500}}).select("doc_id", "passed")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_discount = 0 OR l_discount >= 0.05 AS passed, l_tax <> 0 AS tax_known FROM lineitem""")
+def rule_unknown(spark, sf_dir):
+    items = rules.apply_rules(table(spark, sf_dir, "lineitem"), {"l_discount": {"min": 0.05, "zero_is_unknown": True}})
+    strict = rules.reasons({"l_tax": {"zero_is_unknown": True, "unknown_passes": False}}, {"l_tax": T.DoubleType()})
+    return items.select("l_orderkey", "l_linenumber", "passed", (F.size(strict) == 0).alias("tax_known"))
+
+
+REPORT = {"o_totalprice": {"min": 50000}, "o_orderstatus": {"allowed": ["O", "P"]}, "o_clerk": {"required": True}, "o_orderpriority": {"excludes_any": ["low"]}}
+
+
+@query("""SELECT o_orderkey, len(r) AS n_reasons, array_to_string(r, ', ') AS codes FROM (SELECT o_orderkey, list_filter([CASE WHEN o_totalprice < 50000 THEN 'o_totalprice:below the minimum' END, CASE WHEN lower(o_orderstatus) NOT IN ('o', 'p') THEN 'o_orderstatus:not allowed' END, 'o_clerk:missing', CASE WHEN contains(lower(o_orderpriority), 'low') THEN 'o_orderpriority:contains' END], lambda x: x IS NOT NULL) AS r FROM orders)""")
+def rule_report(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    why = rules.reasons(REPORT, {f.name: f.dataType for f in orders.schema})
+    return orders.select("o_orderkey", F.size(why).cast("long").alias("n_reasons"), F.array_join(F.transform(why, lambda r: F.concat_ws(":", r["field"], r["code"])), ", ").alias("codes"))
+
+
+@query("""SELECT code, count(*) AS n FROM (SELECT unnest([CASE WHEN l_quantity > 45 THEN 'above the maximum' END, CASE WHEN l_returnflag = 'N' THEN 'blocked' END, CASE WHEN l_discount < 0.02 THEN 'below the minimum' END]) AS code FROM lineitem) WHERE code IS NOT NULL GROUP BY code""")
+def conflict_reasons_count(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem")
+    why = rules.reasons({"l_quantity": {"max": 45}, "l_returnflag": {"blocked": ["n"]}, "l_discount": {"min": 0.02}}, {f.name: f.dataType for f in items.schema})
+    return items.select(F.explode(why).alias("r")).groupBy(F.col("r.code").alias("code")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS number, json_extract_string(props, '$.k') AS shown FROM events""")
+def json_props(spark, sf_dir):
+    number = as_number(F.get_json_object("props", "$.k"))
+    return table(spark, sf_dir, "events").select("event_id", number.alias("number"), number_text(number).alias("shown"))
+
+
+@query("SELECT source, lang, count(*) AS n, count(*) FILTER (n_chars > 1000) AS n_long FROM documents GROUP BY source, lang")
+def site_counts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.count(F.when(F.col("n_chars") > 1000, 1)).alias("n_long"))
+
+
+@query(CONTENT + """, fresh AS (SELECT * FROM ids i WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = i.doc_id) QUALIFY job_id IS NULL OR row_number() OVER (PARTITION BY job_id ORDER BY doc_id) = 1),
+passed AS (SELECT * FROM fresh WHERE n_chars >= 200 AND n_chars <= 20000 AND lang IN ('en', 'de', 'fr')), """ + FAIR.format(rows="passed").removeprefix("WITH "))
+def flagship_feed(spark, sf_dir):
+    """Undelivered documents, unique by content, that pass the rules, in fair order over sources."""
+    docs = with_identity(table(spark, sf_dir, "documents"), company=False).select("doc_id", "source", "lang", "n_chars", "job_id")
+    fresh = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+    kept = rules.filter_entries(collect.first_wins(fresh, "job_id", ["doc_id"]), {"n_chars": {"min": 200, "max": 20000}, "lang": {"allowed": ["en", "de", "fr"]}}, "job_id", ["doc_id"], remember=False)
+    return collect.fair_feed(kept, "source", "lang", ["doc_id"], 10, 20).select("doc_id", "source", "lang", "site_rank", "position")
+
+
+from gleanframe.plans import catalogue_more  # noqa: E402, F401  registers the rest

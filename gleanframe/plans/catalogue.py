@@ -78,12 +78,12 @@ def host_of(spark, sf_dir):
 @query(rf"""WITH p AS (SELECT page_id, replace(url, '/en/', '/jobs/') AS u FROM pages),
 s AS (SELECT page_id, u, list_filter(string_split(lower(regexp_extract(u, '^[a-z]+://[^/?#]*([^?#]*)', 1)), '/'), lambda x: x <> '') AS seg,
   list_filter(string_split(lower(regexp_extract(u, '^[^?#]*\?([^#]*)', 1)), '&'), lambda x: regexp_matches(x, '^[^=]*=.')) AS par FROM p),
-k AS (SELECT *, list_filter(range(1, len(seg) + 1), lambda i: list_contains({list(predicates.JOB_SEGMENTS)}, seg[i]))[1] AS at,
+k AS (SELECT *, list_filter(range(1, len(seg) + 1), lambda i: list_contains({list(predicates.JOB_SEGMENTS)}, seg[i]))[1] AS job_at,
   len(list_filter(par, lambda x: list_contains({list(predicates.INDEX_QUERY_KEYS)}, string_split(x, '=')[1]))) > 0 AS idx,
   len(list_filter(par, lambda x: list_contains({list(predicates.ID_QUERY_KEYS)}, string_split(x, '=')[1]) AND regexp_matches(string_split(x, '=')[2], '\d{{3}}'))) > 0 AS idk,
   len(list_filter(seg, lambda x: list_contains({list(predicates.INDEX_SEGMENTS)}, x))) > 0 AS bad FROM s)
-SELECT page_id, coalesce(len(seg) > 0 AND NOT idx AND NOT bad AND at IS NOT NULL AND len(seg) > at
-  AND (len(list_filter(seg[at + 1:], lambda x: regexp_matches(x, '\d{{3}}'))) > 0 OR idk OR (seg[-1] LIKE '%-%' AND length(seg[-1]) >= 8)), false) AS is_posting FROM k""")
+SELECT page_id, coalesce(len(seg) > 0 AND NOT idx AND NOT bad AND job_at IS NOT NULL AND len(seg) > job_at
+  AND (len(list_filter(seg[job_at + 1:], lambda x: regexp_matches(x, '\d{{3}}'))) > 0 OR idk OR (seg[-1] LIKE '%-%' AND length(seg[-1]) >= 8)), false) AS is_posting FROM k""")
 def posting_url(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", F.replace("url", F.lit("/en/"), F.lit("/jobs/")).alias("url"))
     return pages.select("page_id", predicates.is_posting_url(F.col("url"), tx.host(F.col("url"))).alias("is_posting"))

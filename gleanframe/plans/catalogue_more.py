@@ -1 +1,93 @@
 """The queries on extraction, schemas, delivery and streams."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import functions as F
+
+from gleanframe.functions import text as tx
+from gleanframe.operators import delivery, extraction, templates
+
+from .catalogue import query, table
+
+ANSWER = {"role": "user | assistant", "turn": "<int> the turn, never 0", "text": "what was said"}
+
+
+@query("""SELECT conv_id, turn, turn = 0 AS unestimated, len(list_filter(['role', 'turn', 'text'], lambda k: NOT list_contains(k2, k))) + len(list_filter(k2, lambda k: NOT list_contains(['role', 'turn', 'text'], k))) AS key_problems,
+text IS NULL OR trim(text) = '' AS has_empty FROM (SELECT *, CASE WHEN role = 'user' THEN ['role', 'text'] ELSE ['role', 'turn', 'text'] END AS k2 FROM conversations)""")
+def template_validate(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    answer = F.when(F.col("role") == "user", F.to_json(F.struct("role", "text"))).otherwise(F.to_json(F.struct("role", "turn", "text")))
+    keys, wanted = F.json_object_keys("answer"), F.array(*map(F.lit, ANSWER))
+    loose = F.from_json("answer", templates.schema(ANSWER))
+    return turns.withColumn("answer", answer).withColumn("parsed", loose).select("conv_id", "turn", (F.col("turn") == 0).alias("unestimated"), (F.size(F.array_except(wanted, keys)) + F.size(F.array_except(keys, wanted))).cast("long").alias("key_problems"), (F.col("parsed.text").isNull() | (F.trim("parsed.text") == "")).alias("has_empty"))
+
+
+@query()
+def link_extract(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("body"), F.col("url").alias("page_url"))
+    return extraction.anchors(pages, "page_id")
+
+
+@query()
+def html_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", tx.plain(F.col("html")).alias("text"))
+
+
+def board_pages(spark, sf_dir):
+    """Pages with JSON-LD, JSON and links, made of the documents: the test pages have no postings."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    posting = F.to_json(F.struct(F.lit("JobPosting").alias("@type"), F.concat(F.lit("Job "), F.col("doc_id")).alias("title"), F.concat(F.lit("/jobs/"), F.col("doc_id") + 1000).alias("url"), F.struct(F.col("source").alias("name")).alias("hiringOrganization"), F.substring("text", 1, 80).alias("description")))
+    flat = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("Job "), F.col("doc_id")).alias("job_title"), F.concat(F.lit("/jobs/"), F.col("doc_id") + 1000).alias("link"), F.col("source").alias("employer"))).alias("jobs")))
+    kind = F.col("doc_id") % 3
+    link = F.concat(F.lit("<nav><a href='/jobs/99999'>Not this one</a></nav><div><a href='/jobs/"), F.col("doc_id") + 1000, F.lit("#x'>Job number "), F.col("doc_id"), F.lit("</a></div>"))
+    body = F.when(kind == 0, F.concat(F.lit("<html><script type='application/ld+json'>"), posting, F.lit("</script></html>"))).when(kind == 1, flat).otherwise(link)
+    return docs.select("doc_id", F.concat(F.lit("https://www.board.example/list/"), F.col("doc_id")).alias("page_url"), body.alias("body"), F.lit("").alias("content_type"), F.lit(None).cast("string").alias("parser"))
+
+
+@query(r"""SELECT doc_id, CASE doc_id % 3 WHEN 2 THEN 'Job number ' ELSE 'Job ' END || doc_id AS title, 'https://www.board.example/jobs/' || (doc_id + 1000) AS url, CASE WHEN doc_id % 3 < 2 THEN source END AS company FROM documents""")
+def jsonld_extract(spark, sf_dir):
+    return extraction.listings(board_pages(spark, sf_dir), "doc_id").select("doc_id", "title", "url", "company")
+
+
+ESC = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
+
+
+@query(f"""SELECT c_custkey, '<b>C custkey:</b> ' || c_custkey || chr(10) || '<b>Customer:</b> ' || {ESC.format("c_name")} || chr(10) || '<b>C mktsegment:</b> ' || {ESC.format("c_mktsegment")} || chr(10) || '<b>Tags</b>' || chr(10) || '  • ' || {ESC.format("c_name")} || chr(10) || '  • <x>'.replace('<', '&lt;').replace('>', '&gt;') AS rendered FROM customer""")
+def render_lines(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", F.array("c_name", F.lit("<x>")).alias("tags"))
+    return rows.select("c_custkey", delivery.render_columns(rows.schema, {"c_name": "Customer"}).alias("rendered"))
+
+
+@query()
+def chunk_text(spark, sf_dir):
+    return delivery.chunked(table(spark, sf_dir, "documents"), "text", "doc_id")
+
+
+@query("SELECT user_id, min(event_id) AS event_id FROM events WHERE user_id IS NOT NULL GROUP BY user_id")
+def cycle_stream(spark, sf_dir):
+    """A stream of events, in micro-batches: each user's first event, kept as state between batches."""
+    import uuid
+
+    name = f"cycle_{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events")
+    folder = f"{sf_dir}/events.parquet"
+    source = spark.readStream.schema(events.schema).parquet(folder if _is_folder(spark, folder) else f"{sf_dir}/events.parque[t]")
+    firsts = source.where("user_id is not null").groupBy("user_id").agg(F.min("event_id").alias("event_id"))
+    q = firsts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
+def _is_folder(spark, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+
+
+@query("""SELECT item_id, json AS assessment_schema FROM (SELECT item_id, '{"role":"string","text":"string","turn":"bigint"}' AS json FROM benchmark)""")
+def template_schema(spark, sf_dir):
+    kinds = {f.name: f.dataType.simpleString() for f in templates.schema(ANSWER)}
+    return table(spark, sf_dir, "benchmark").select("item_id", F.lit(json.dumps(dict(sorted(kinds.items())), separators=(",", ":"))).alias("assessment_schema"))
+
+

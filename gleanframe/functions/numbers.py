@@ -30,11 +30,8 @@ def is_whole(number: Column) -> Column:
 
 def number_text(number: Column) -> Column:
     """A number for messages: whole ones without a point, others with six significant digits and no trailing zeros."""
-    size = F.floor(F.log10(F.abs(number)))
-    fixed = F.format_string("%.6f", F.round(number, 6))
-    digits = F.greatest(F.lit(0), F.lit(5) - size).cast("int")
-    rounded = F.substring(fixed, F.lit(1), F.instr(fixed, ".") + F.least(digits, F.lit(6)))
-    return F.when(is_whole(number), number.cast("bigint").cast("string")).otherwise(F.regexp_replace(F.regexp_replace(rounded, r"(\.\d*?)0+$", "$1"), r"\.$", ""))
+    short = F.regexp_replace(F.regexp_replace(F.format_string("%.6g", number), r"(\.\d*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
+    return F.when(is_whole(number), number.cast("bigint").cast("string")).otherwise(short)
 
 
 def key_forms(value: Column, kind: T.DataType | None = None) -> Column:

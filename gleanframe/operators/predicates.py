@@ -70,7 +70,7 @@ def is_posting_url(url: Column, base_host: Column) -> Column:
     job_key = F.exists(pairs, lambda p: _one_of(p["k"], ID_QUERY_KEYS) & p["v"].rlike(r"\d{3}") & p["k"].rlike("job|vacancy|position"))
     places = F.filter(F.transform(segments, lambda s, i: F.when(_one_of(s, JOB_SEGMENTS), i)), lambda i: i.isNotNull())
     tail = F.slice(segments, F.get(places, 0) + 2, F.size(segments) + 1)
-    last = F.element_at(tail, -1)
+    last = F.get(tail, F.size(tail) - 1)
     shaped = (F.size(places) > 0) & F.coalesce((F.size(tail) > 0) & (F.exists(tail, lambda s: s.rlike(r"\d{3}")) | id_key | (last.contains("-") & (F.char_length(last) >= 8))), F.lit(False))
     index_segment = F.exists(segments, lambda s: _one_of(s, INDEX_SEGMENTS))
     ok = scheme.isin("http", "https") & local & (F.size(segments) > 0) & ~index_key & (job_key | (~index_segment & shaped))

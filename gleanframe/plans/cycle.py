@@ -57,7 +57,7 @@ def scan(requests: DataFrame, pages: DataFrame, limit: int, total_sites: int) ->
     return collect.fair_feed(placed, "site_order", "bucket_idx", ["ord"], limit, total_sites).select("position", *FIELDS)
 
 
-def run_cycle(listings: DataFrame, history: History, ruleset: Mapping[str, Mapping[str, Any]], template: dict[str, Any], assessor: model.Assessor, channel: delivery.Channel | None, chat: str = "", write: Callable[[str, DataFrame], DataFrame] = lambda name, df: df.localCheckpoint(), per_minute: float = 0, sleep: Callable[[float], None] = lambda s: None) -> dict[str, int]:
+def run_cycle(listings: DataFrame, history: History, ruleset: Mapping[str, Mapping[str, Any]], template: dict[str, Any], assessor: model.Assessor, channel: delivery.Channel | None, chat: str = "", write: Callable[[str, DataFrame], DataFrame] = lambda name, df: df.checkpoint(), per_minute: float = 0, sleep: Callable[[float], None] = lambda s: None) -> dict[str, int]:
     """Assesses, filters and sends what is new; returns counts. Without ``channel`` it is a dry run.
 
     ``write`` writes a table and gives it back: answers of the model and outcomes of sending must

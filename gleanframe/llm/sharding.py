@@ -27,8 +27,9 @@ def copy_links(nodes: DataFrame, *keys: str, block: int = BLOCK) -> DataFrame:
 
 
 def propagate(scratch: Scratch, nodes: DataFrame, links: DataFrame, shards: int, rounds: int) -> DataFrame:
-    """(node, shard) after ``rounds`` of moves. A move needs more neighbours there than here, and room there.
+    """(node, shard) after ``rounds`` of moves. A move needs most of a node's neighbours there, and room there.
 
+    Of two nodes with no other link the later one moves, so they never trade places.
     Room: a shard takes its free capacity plus what leaves it. Where more would come than there is
     room for, a share of them is chosen by hash, so no group is ranked in one task.
     """
@@ -37,10 +38,10 @@ def propagate(scratch: Scratch, nodes: DataFrame, links: DataFrame, shards: int,
     both = scratch.table("both", links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     at = scratch.table("at-0", nodes.select("node", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard")))
     for i in range(1, rounds + 1):
-        seen = both.join(at.select(F.col("node").alias("b"), F.col("shard").alias("there")), "b").groupBy("a", "there").agg(F.count("*").alias("n"))
+        seen = both.join(at.select(F.col("node").alias("b"), F.col("shard").alias("there")), "b").groupBy("a", "there").agg(F.count("*").alias("n"), F.min("b").alias("b"))
         own = seen.join(at.select(F.col("node").alias("a"), F.col("shard").alias("here")), "a")
-        best = own.groupBy("a").agg(F.max_by("there", F.struct("n", -F.col("there"))).alias("there"), F.max("n").alias("most"), F.max(F.when(F.col("there") == F.col("here"), F.col("n")).otherwise(0)).alias("mine"), F.min("here").alias("here"))
-        wish = scratch.table(f"wish-{i}", best.where("most > mine").select(F.col("a").alias("node"), "here", "there"))
+        best = own.groupBy("a").agg(F.max_by("there", F.struct("n", -F.col("there"))).alias("there"), F.max("n").alias("most"), F.max(F.when(F.col("there") == F.col("here"), F.col("n")).otherwise(0)).alias("mine"), F.min("here").alias("here"), F.sum("n").alias("links"), F.min("b").alias("least"))
+        wish = scratch.table(f"wish-{i}", best.where("most > mine and 2 * most > links and (links > 1 or least < a)").select(F.col("a").alias("node"), "here", "there"))
         sizes = at.groupBy("shard").agg(F.count("*").alias("has"))
         come = wish.groupBy(F.col("there").alias("shard")).agg(F.count("*").alias("come"))
         leave = wish.groupBy(F.col("here").alias("shard")).agg(F.count("*").alias("leave"))
@@ -51,7 +52,7 @@ def propagate(scratch: Scratch, nodes: DataFrame, links: DataFrame, shards: int,
     return at
 
 
-def balanced_shards(docs: DataFrame, shards: int = 40, rounds: int = 3, links: DataFrame | None = None) -> DataFrame:
+def balanced_shards(docs: DataFrame, shards: int = 40, rounds: int = 4, links: DataFrame | None = None) -> DataFrame:
     """Shard and slot of each document; counts of shards are at most one apart (law ``rows``).
 
     ``links`` (a, b: doc_id values) may add links; by default equal texts are linked. Null text is

@@ -117,3 +117,21 @@ SELECT conv_id, place, n_turns, role, text,
        '<|' || lower(trim(role)) || '|>' || chr(10) || replace(replace(text, '<|', '<'), '|>', '>') || '<|end|>' || chr(10) AS rendered
 FROM turns WHERE conv_id IN (SELECT conv_id FROM kept)
 """
+
+
+SQL["op4_near_duplicates"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w
+), items AS (SELECT doc_id, len(s) AS n, unnest(s) AS sh FROM sets
+), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS c
+  FROM items a JOIN items b ON a.sh = b.sh AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY 1, 2
+), links AS (SELECT x, y FROM pairs WHERE 100 * c >= 80 * (nx + ny - c)
+), edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach AS (SELECT x, y FROM edges UNION SELECT r.x, b.y FROM reach r JOIN edges b ON r.y = b.x
+), least_of AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT s.doc_id, len(s.s) AS n_shingles, least(s.doc_id, coalesce(l.y, s.doc_id)) AS component_id, s.doc_id = least(s.doc_id, coalesce(l.y, s.doc_id)) AS kept
+FROM sets s LEFT JOIN least_of l ON s.doc_id = l.x
+"""

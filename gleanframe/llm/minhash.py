@@ -1,14 +1,16 @@
 """Near-duplicates by b-bit MinHash.
 
-1. Each text's shingle set gives 128 minima. Four neighbouring minima make a band key (32 keys);
-   the two low bits of each minimum make a packed signature of 32 bytes.
+1. Each text's shingle set gives 256 minima. Four neighbouring minima of the first half make a
+   band key (32 keys); the two low bits of each minimum make a packed signature of 64 bytes.
 2. Equal sets become one class, so copies never meet in a bucket.
 3. Within a bucket of equal band keys, signatures are compared by counting bits; the estimate is
-   corrected for low bits that agree by chance, and a margin of five standard errors keeps all
+   corrected for low bits that agree by chance, and a margin of 4.5 standard errors keeps all
    pairs that may reach the threshold.
-4. Such pairs are confirmed on the full sets. First every member of a bucket is tested against
-   the bucket's leaders, which joins large groups of near copies by few tests; then all pairs
-   that remain between different components are tested, in growing shares, until none is left.
+4. Such pairs are confirmed on the full sets. Every member of a bucket is tested against a leader
+   of the bucket that it is likely to be linked to, then, twice, against the likeliest member of
+   another component; that joins large groups of near copies by few tests. At last all pairs that
+   remain between different components are tested, each in the first band the two share, after
+   4096 more minima (one bit each) have put off pairs well under the threshold.
    So no link between different components goes untested, yet no group is expanded into all pairs.
 Two sets at the threshold of 0.8 share no band with a chance of (1 - 0.8**4)**32 < 5e-8.
 """
@@ -28,28 +30,32 @@ from .common import Scratch
 from .components import components
 from .shingles import U, mix, shingle_sets
 
-HASHES, BAND, BITS = 128, 4, 2
+HASHES, BANDS, BAND, BITS = 256, 32, 4, 2
 BLOCK = 2048
 _RNG = np.random.default_rng(27_644_437)
 FLIP = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 TIMES = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
-BAND_SALT = _RNG.integers(0, 1 << 64, HASHES // BAND, dtype=U)
+BAND_SALT = _RNG.integers(0, 1 << 64, BANDS, dtype=U)
 LOW = U(0x5555555555555555)
-#: Shares of the remaining pairs (by hash, of 64) that the rounds after the first test.
-SHARES = (1, 8, 64)
+SHARP = 4096
+SHARP_FLIP = _RNG.integers(0, 1 << 32, SHARP, dtype=np.uint32)
+SHARP_TIMES = _RNG.integers(0, 1 << 32, SHARP, dtype=np.uint32) | np.uint32(1)
+#: Rounds in which each member is tested against its likeliest partner, before all pairs left are.
+BEST_ROUNDS = 2
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
-    """The least value of the set under each of HASHES bijections of 32-bit words."""
+def minima(hashes: np.ndarray, flip: np.ndarray = FLIP, times: np.ndarray = TIMES) -> np.ndarray:
+    """The least value of the set under each of some bijections of 32-bit words."""
     h = (hashes >> U(32)).astype(np.uint32)
-    out = np.full(HASHES, 0xFFFFFFFF, dtype=np.uint32)
-    for at in range(0, len(h), 4096):
-        np.minimum(out, ((h[at : at + 4096, None] ^ FLIP) * TIMES).min(axis=0), out=out)
+    out = np.full(len(flip), 0xFFFFFFFF, dtype=np.uint32)
+    step = (1 << 20) // len(flip)
+    for at in range(0, len(h), step):
+        np.minimum(out, ((h[at : at + step, None] ^ flip) * times).min(axis=0), out=out)
     return out
 
 
 def band_keys(least: np.ndarray) -> np.ndarray:
-    rows = least.reshape(-1, BAND).astype(U)
+    rows = least[: BANDS * BAND].reshape(-1, BAND).astype(U)
     key = BAND_SALT.copy()
     for i in range(BAND):
         key = mix(key ^ rows[:, i])
@@ -73,15 +79,26 @@ def estimate(differ: np.ndarray | float) -> np.ndarray | float:
     return ((1 - differ / HASHES) - chance) / (1 - chance)
 
 
-def most_differing(threshold: float, errors: float = 5.0) -> int:
+def most_differing(threshold: float, errors: float = 4.5, slots: int = HASHES, bits: int = BITS) -> int:
     """The most differing slots at which a pair may still reach ``threshold``."""
-    chance = 2.0**-BITS
+    chance = 2.0**-bits
     agree = chance + (1 - chance) * threshold
-    return HASHES - math.floor(HASHES * (agree - errors * math.sqrt(agree * (1 - agree) / HASHES)))
+    return slots - math.floor(slots * (agree - errors * math.sqrt(agree * (1 - agree) / slots)))
+
+
+def sharp_signatures(sets: DataFrame) -> DataFrame:
+    """(rep, sharp): one low bit of each of SHARP minima, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [np.packbits((minima(np.frombuffer(x.as_buffer(), dtype=U), SHARP_FLIP, SHARP_TIMES) & np.uint32(1)).astype(np.uint8)).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["rep", "sharp"])
+
+    return sets.select("rep", "items").mapInArrow(run, "rep long, sharp binary")
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """row_id, doc_id, n, h1, h2 (of the whole set), bands, sig of each row; a row without words has null bands."""
+    """row_id, doc_id, n, h1, h2 (of the whole set), bands (packed keys), sig of each row; a row without words has null bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, no = TaskContext.get().partitionId(), 0
@@ -94,12 +111,12 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                     no += 1
                     if len(s):
                         least = minima(s)
-                        row[3:] = int(s.sum(dtype=U).view(np.int64)), int(mix(s ^ LOW).sum(dtype=U).view(np.int64)), band_keys(least).tolist(), signature(least).tobytes()
+                        row[3:] = int(s.sum(dtype=U).view(np.int64)), int(mix(s ^ LOW).sum(dtype=U).view(np.int64)), band_keys(least).tobytes(), signature(least).tobytes()
                     out.append(tuple(row))
-                types = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.binary()]
+                types = [pa.int64()] * 5 + [pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["row_id", "doc_id", "n", "h1", "h2", "bands", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "row_id long, doc_id long, n long, h1 long, h2 long, bands array<long>, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "row_id long, doc_id long, n long, h1 long, h2 long, bands binary, sig binary")
 
 
 def runs_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[dict[str, np.ndarray]]:
@@ -121,10 +138,9 @@ def runs_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[dict[str,
 
 
 def _arrays(table: pa.Table) -> dict[str, np.ndarray]:
-    out = {n: table.column(n).to_numpy() for n in table.column_names if n != "sig"}
-    if "sig" in table.column_names:
-        out["sig"] = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=U).reshape(table.num_rows, -1)
-    return out
+    packed = {"sig", "bands", "sharp"}.intersection(table.column_names)
+    out = {n: table.column(n).to_numpy() for n in table.column_names if n not in packed}
+    return out | {n: np.frombuffer(b"".join(table.column(n).to_pylist()), dtype=U).reshape(table.num_rows, -1) for n in packed}
 
 
 def _may_link(n1, n2, s1, s2, most: int, percent: int) -> np.ndarray:
@@ -135,8 +151,8 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
-def leader_pairs(members: DataFrame, most: int, percent: int) -> DataFrame:
-    """Each member with the first leader of its bucket's block that it may be linked to; one without becomes a leader."""
+def leader_pairs(members: DataFrame, likely: int, percent: int) -> DataFrame:
+    """Each member with the first leader of its bucket's block that it is likely to be linked to; one without becomes a leader."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in runs_of(batches, 2):
@@ -145,7 +161,7 @@ def leader_pairs(members: DataFrame, most: int, percent: int) -> DataFrame:
                 key, block = x["key"][rest], x["block"][rest]
                 new = np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])])
                 head = rest[np.flatnonzero(new)[np.cumsum(new) - 1]]
-                link = _may_link(x["n"][rest], x["n"][head], x["sig"][rest], x["sig"][head], most, percent) & ~new
+                link = _may_link(x["n"][rest], x["n"][head], x["sig"][rest], x["sig"][head], likely, percent) & ~new
                 if link.any():
                     yield _pairs(x["rep"][rest[link]], x["rep"][head[link]])
                 rest = rest[~link & ~new]
@@ -154,36 +170,46 @@ def leader_pairs(members: DataFrame, most: int, percent: int) -> DataFrame:
     return dealt.repartition("key", "block").sortWithinPartitions("key", "block", "rep").mapInArrow(run, "a long, b long")
 
 
-def remaining_pairs(members: DataFrame, comps: DataFrame, most: int, percent: int, low: int, high: int) -> DataFrame:
-    """All pairs of one bucket and different components that may be linked and whose hash (of 64) lies in the share.
+def remaining_pairs(members: DataFrame, comps: DataFrame, most: int, percent: int, sets: DataFrame | None) -> DataFrame:
+    """Pairs of one bucket and different components that may be linked.
 
-    Only buckets with more than one component are looked at. A bucket of many blocks is dealt to
-    tasks by pairs of blocks.
+    Without ``sets`` each member with the one that differs least; with the members' full sets all
+    such pairs whose sharp signatures may be linked too. A pair is only made in the first band that
+    both share. Only buckets with more than one component are looked at; one of many
+    blocks is dealt to tasks by pairs of blocks.
     """
     now = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", "m")
-    blocks = F.ceil(F.col("m") / BLOCK)
-    rows = now.drop("m").join(mixed, "key").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    rows = now.drop("m").join(mixed, "key").withColumn("blocks", F.ceil(F.col("m") / BLOCK)).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "rep", "n", "comp", "mine", "sig")
+    rows = rows.select("key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "rep", "n", "comp", "mine", "band", "sig", "bands")
+    best = sets is None
+    if not best:
+        rows = rows.join(sharp_signatures(sets.join(rows.select("rep").distinct(), "rep", "left_semi")), "rep").select(*rows.columns, "sharp")
+    sharply = most_differing(percent / 100, slots=SHARP, bits=1)
+
+    def bucket(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if (x["comp"] == x["comp"][0]).all():
+            return
+        whole = x["p"][0] == x["q"][0]
+        for i in range(len(x["rep"])):
+            j = np.arange(0 if best else i + 1, len(x["rep"]))
+            j = j[(x["comp"][j] != x["comp"][i]) & (whole | (x["mine"][j] != x["mine"][i]))]
+            j = j[_may_link(x["n"][j], x["n"][i], x["sig"][j], x["sig"][i], most, percent)]
+            if best and len(j):
+                j = j[np.argmin(differing(x["sig"][j], x["sig"][i]))][None]
+            if len(j):
+                j = j[np.argmax(x["bands"][j] == x["bands"][i], axis=1) == x["band"][i]]
+            if len(j) and not best:
+                j = j[np.bitwise_count(x["sharp"][j] ^ x["sharp"][i]).sum(axis=1, dtype=np.int64) <= sharply]
+            if len(j):
+                yield _pairs(x["rep"][j], np.full(len(j), x["rep"][i]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in runs_of(batches, 3):
             new = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([x[c][1:] != x[c][:-1] for c in ("key", "p", "q")])]))
             for a, b in zip(new, [*new[1:], len(x["key"])], strict=True):
-                comp = x["comp"][a:b]
-                if (comp == comp[0]).all():
-                    continue
-                whole = x["p"][a] == x["q"][a]
-                for i in range(a, b - 1):
-                    j = np.arange(i + 1, b)
-                    j = j[(x["comp"][j] != x["comp"][i]) & (whole | (x["mine"][j] != x["mine"][i]))]
-                    if len(j):
-                        share = mix(np.minimum(x["rep"][j], x["rep"][i]).astype(U) * U(3) + np.maximum(x["rep"][j], x["rep"][i]).astype(U)) >> U(58)
-                        j = j[(share >= U(low)) & (share < U(high))]
-                        j = j[_may_link(x["n"][j], x["n"][i], x["sig"][j], x["sig"][i], most, percent)]
-                        if len(j):
-                            yield _pairs(x["rep"][j], np.full(len(j), x["rep"][i]))
+                yield from bucket({n: c[a:b] for n, c in x.items()})
 
     return rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "rep").mapInArrow(run, "a long, b long")
 
@@ -230,21 +256,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     whose id is the component's is kept); a null doc_id never names a component that has another id.
     """
     scratch = Scratch(docs.sparkSession, "minhash")
-    most = most_differing(percent / 100)
+    most, likely = most_differing(percent / 100), most_differing(percent / 100, 0)
     sketch = scratch.table("sketches", sketches(docs, k))
     worded = sketch.where("n > 0")
     classes = scratch.table("classes", worded.groupBy("h1", "h2", "n").agg(F.min("row_id").alias("rep"), F.min("doc_id").alias("least")))
-    reps = worded.join(classes.select("rep"), worded.row_id == F.col("rep")).select("rep", "n", "sig", F.explode("bands").alias("key"))
-    keys = reps.select("rep", "key").groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    members = scratch.table("members", reps.join(keys, "key").select("key", "rep", "n", "sig", "m"))
+    reps = worded.join(classes.select("rep"), worded.row_id == F.col("rep")).select("rep", "n", "sig", "bands")
+    hexed = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring(F.col("bands"), i * 8 + 1, F.lit(8)))
+    keyed = reps.select("rep", F.posexplode(hexed).alias("band", "word")).select("rep", "band", F.xxhash64("word", "band").alias("key"))
+    keys = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    shared = scratch.table("shared", keyed.join(keys, "key"))
+    members = scratch.table("members", shared.join(reps, "rep").select("key", "band", "rep", "n", "sig", "bands", "m"))
     wanted = members.select("rep").distinct().join(classes, "rep").select("rep", "least", "h1", "h2")
     sets = scratch.table("sets", full_sets(docs, wanted, k))
-    links = scratch.table("links-0", confirmed(leader_pairs(members, most, percent).distinct(), sets, percent))
+    links = scratch.table("links-0", confirmed(leader_pairs(members, likely, percent).distinct(), sets, percent))
     comps = components(scratch, "comps-0", links)
-    low = 0
-    for i, high in enumerate(SHARES, 1):
-        pairs = scratch.table(f"pairs-{i}", remaining_pairs(members, comps, most, percent, low, high).distinct())
-        low = high
+    for i in range(1, BEST_ROUNDS + 2):
+        pairs = scratch.table(f"pairs-{i}", remaining_pairs(members, comps, most, percent, None if i <= BEST_ROUNDS else sets).distinct())
         more = scratch.table(f"links-{i}", confirmed(pairs, sets, percent))
         if not more.isEmpty():
             links = links.unionByName(more)

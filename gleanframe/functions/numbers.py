@@ -34,9 +34,9 @@ def number_text(number: Column) -> Column:
     return F.when(is_whole(number), number.cast("bigint").cast("string")).otherwise(short)
 
 
-def key_forms(value: Column, kind: T.DataType | None = None) -> Column:
-    """The texts under which a value may stand as a map key: its own, and that of the whole number it is."""
-    number = as_number(value, kind)
+def key_forms(value: Column, kind: T.DataType | None = None) -> list[Column]:
+    """The texts under which a value may stand as a map key, in order: its own, and that of the whole number it is (else null)."""
     if isinstance(kind, T.BooleanType):
-        return F.array(F.when(value, "True").otherwise("False"))
-    return F.filter(F.array(value.cast("string"), F.when(is_whole(number), number.cast("bigint").cast("string"))), lambda x: x.isNotNull())
+        return [F.when(value, "True").otherwise("False")]
+    number = as_number(value, kind)
+    return [value.cast("string"), F.when(is_whole(number), number.cast("bigint").cast("string"))]

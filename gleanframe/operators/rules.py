@@ -97,8 +97,9 @@ def bound(rule: Mapping[str, Any], side: str, fields: Mapping[str, T.DataType],
     table, other = {k: py_number(v) for k, v in (by.get("map") or {}).items()}, by.get("field")
     if other in fields and table:
         lookup = F.create_map(*[x for k, v in table.items() for x in (F.lit(str(k)), F.lit(v).cast("double"))])
-        hit = F.get(F.filter(key_forms(F.col(f"{prefix}{other}"), fields[other]), lambda k: F.map_contains_key(lookup, k)), 0)
-        out = F.when(hit.isNotNull(), F.try_element_at(lookup, hit)).otherwise(out)
+        # The first form that the map has counts, even if it maps to nothing; later forms aren't computed then.
+        for form in reversed(key_forms(F.col(f"{prefix}{other}"), fields[other])):
+            out = F.when(F.map_contains_key(lookup, F.coalesce(form, F.lit("\x00"))), F.try_element_at(lookup, form)).otherwise(out)
     return out
 
 

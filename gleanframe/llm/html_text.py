@@ -232,7 +232,9 @@ def extract(pages: DataFrame) -> DataFrame:
     Rows of equal page_id stand each for itself; a null url belongs to the host of no name.
     """
     scratch = Scratch(pages.sparkSession, "html")
-    deduced = scratch.table("templates", templates(tokens_of(pages)))
+    # Written once, as the deduction reads it several times; rarer tokens can't be in a template.
+    tokens = scratch.table("tokens", tokens_of(pages).where((F.col("token") == 0) | (F.col("pages") >= LEAST_SHARE * LEAST_PAGES)))
+    deduced = scratch.table("templates", templates(tokens))
     rows = pages.select("page_id", "url", "html", host().alias("host"))
     size = deduced.agg(F.sum(8 * (F.size("frame") + F.size("texts")) + 64)).first()[0] or 0
     # Templates go to all tasks only while they are small; else both sides are dealt by host, and Spark splits large hosts.

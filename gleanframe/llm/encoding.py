@@ -20,6 +20,10 @@ INNER = {
 }
 
 
+#: The first letter behind those of Latin-1, which no normal form changes; marks that often end a word.
+LATIN_END, MARKS = "\u0100", ".,;:!?"
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte in a byte-level vocabulary: itself where it prints, else the next from 256 on."""
     prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -54,16 +58,25 @@ class PieceEncoder(dict):
         return ids
 
     def _whole(self, piece: str) -> bytes:
+        body = piece[1:] if piece[0] == " " else piece
+        if body.isalpha() and max(body) < LATIN_END:
+            return self._run(piece.lower() if self.kind == "words" else piece)
+        if body[:-1].isalpha() and body[-1] in MARKS:
+            return self[piece[:-1]] + self[piece[-1]]
         if "<|" not in piece:
             low = piece.lower() if self.kind == "words" else piece
             runs = self.inner.findall(low)
             if len(runs) == 1 and runs[0] == low:
-                word = low if low.isascii() and low[0] != " " else "".join(map(self.letters.__getitem__, low.encode()))
-                return array("I", [x.id for x in self.model.tokenize(word)]).tobytes()
+                return self._run(low)
             if "".join(runs) == low:
                 return b"".join([self[x] for x in runs])
         return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
 
+    def _run(self, run: str) -> bytes:
+        """The ids of one run of letters or marks, from the library's model alone."""
+        word = run if run.isascii() and run[0] != " " else "".join(map(self.letters.__getitem__, run.encode()))
+        return array("I", [x.id for x in self.model.tokenize(word)]).tobytes()
+
     def encode(self, text: str) -> bytes:
         if self.kind == "words":
             # str.split() also cuts at U+001C to U+001F, which are no white space to the library.

@@ -4,13 +4,13 @@
    band key (32 keys); the two low bits of each minimum make a packed signature of 64 bytes.
 2. Equal sets become one class, so copies never meet in a bucket.
 3. Within a bucket of equal band keys, signatures are compared by counting bits; the estimate is
-   corrected for low bits that agree by chance, and a margin of 4.5 standard errors keeps all
-   pairs that may reach the threshold.
+   corrected for low bits that agree by chance. It only says which pairs are tested first.
 4. Such pairs are confirmed on the full sets. Every member of a bucket is tested against a leader
    of the bucket that it is likely to be linked to, then, twice, against the likeliest member of
    another component; that joins large groups of near copies by few tests. At last all pairs that
-   remain between different components are tested, each in the first band the two share, after
-   4096 more minima (one bit each) have put off pairs well under the threshold.
+   remain between different components are tested, each in the first band the two share. No estimate
+   drops any of them: only sizes do, and parities of 4096 parts of the sets, which show a number of
+   differing shingles that the two have at least.
    So no link between different components goes untested, yet no group is expanded into all pairs.
 Two sets at the threshold of 0.8 share no band with a chance of (1 - 0.8**4)**32 < 5e-8.
 """
@@ -37,9 +37,8 @@ FLIP = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 TIMES = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
 BAND_SALT = _RNG.integers(0, 1 << 64, BANDS, dtype=U)
 LOW = U(0x5555555555555555)
-SHARP = 4096
-SHARP_FLIP = _RNG.integers(0, 1 << 32, SHARP, dtype=np.uint32)
-SHARP_TIMES = _RNG.integers(0, 1 << 32, SHARP, dtype=np.uint32) | np.uint32(1)
+#: Parts of a set whose parities are kept, and how many words of them are compared first.
+PARITY_BITS, FIRST_WORDS = 12, 8
 #: Rounds in which each member is tested against its likeliest partner, before all pairs left are.
 BEST_ROUNDS = 2
 
@@ -79,22 +78,36 @@ def estimate(differ: np.ndarray | float) -> np.ndarray | float:
     return ((1 - differ / HASHES) - chance) / (1 - chance)
 
 
-def most_differing(threshold: float, errors: float = 4.5, slots: int = HASHES, bits: int = BITS) -> int:
-    """The most differing slots at which a pair may still reach ``threshold``."""
-    chance = 2.0**-bits
+def most_differing(threshold: float, errors: float = 4.5) -> int:
+    """The most differing slots at which a pair is still likely to reach ``threshold``."""
+    chance = 2.0**-BITS
     agree = chance + (1 - chance) * threshold
-    return slots - math.floor(slots * (agree - errors * math.sqrt(agree * (1 - agree) / slots)))
+    return HASHES - math.floor(HASHES * (agree - errors * math.sqrt(agree * (1 - agree) / HASHES)))
+
+
+def parity(items: np.ndarray) -> np.ndarray:
+    """A packed bit for each part of a set: whether it holds an odd number of the set's hashes."""
+    return np.packbits((np.bincount((items >> U(64 - PARITY_BITS)).astype(np.int64), minlength=1 << PARITY_BITS) & 1).astype(np.uint8)).view(U)
 
 
-def sharp_signatures(sets: DataFrame) -> DataFrame:
-    """(rep, sharp): one low bit of each of SHARP minima, packed."""
+def can_link(n1, n2, p1: np.ndarray, p2: np.ndarray, percent: int) -> np.ndarray:
+    """False only for pairs under the threshold: a part of unlike parities holds a shingle that one set alone has.
+
+    So d unlike parts leave at most (n1 + n2 - d) / 2 shingles in common.
+    """
+    d = np.bitwise_count(p1 ^ p2).sum(axis=-1, dtype=np.int64)
+    return (100 + percent) * d <= (100 - percent) * (n1 + n2)
+
+
+def parities(sets: DataFrame) -> DataFrame:
+    """(rep, parity) of each full set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [np.packbits((minima(np.frombuffer(x.as_buffer(), dtype=U), SHARP_FLIP, SHARP_TIMES) & np.uint32(1)).astype(np.uint8)).tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["rep", "sharp"])
+            out = [parity(np.frombuffer(x.as_buffer(), dtype=U)).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["rep", "parity"])
 
-    return sets.select("rep", "items").mapInArrow(run, "rep long, sharp binary")
+    return sets.select("rep", "items").mapInArrow(run, "rep long, parity binary")
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
@@ -138,13 +151,17 @@ def runs_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[dict[str,
 
 
 def _arrays(table: pa.Table) -> dict[str, np.ndarray]:
-    packed = {"sig", "bands", "sharp"}.intersection(table.column_names)
+    packed = {"sig", "bands", "parity"}.intersection(table.column_names)
     out = {n: table.column(n).to_numpy() for n in table.column_names if n not in packed}
     return out | {n: np.frombuffer(b"".join(table.column(n).to_pylist()), dtype=U).reshape(table.num_rows, -1) for n in packed}
 
 
+def _sizes_link(n1, n2, percent: int) -> np.ndarray:
+    return np.minimum(n1, n2) * 100 >= np.maximum(n1, n2) * percent
+
+
 def _may_link(n1, n2, s1, s2, most: int, percent: int) -> np.ndarray:
-    return (differing(s1, s2) <= most) & (np.minimum(n1, n2) * 100 >= np.maximum(n1, n2) * percent)
+    return (differing(s1, s2) <= most) & _sizes_link(n1, n2, percent)
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -173,8 +190,8 @@ def leader_pairs(members: DataFrame, likely: int, percent: int) -> DataFrame:
 def remaining_pairs(members: DataFrame, comps: DataFrame, most: int, percent: int, sets: DataFrame | None) -> DataFrame:
     """Pairs of one bucket and different components that may be linked.
 
-    Without ``sets`` each member with the one that differs least; with the members' full sets all
-    such pairs whose sharp signatures may be linked too. A pair is only made in the first band that
+    Without ``sets`` each member with the one that differs least, if that is likely to be linked;
+    with the members' full sets all pairs whose sizes and parities don't rule a link out. A pair is only made in the first band that
     both share. Only buckets with more than one component are looked at; one of many
     blocks is dealt to tasks by pairs of blocks.
     """
@@ -185,8 +202,7 @@ def remaining_pairs(members: DataFrame, comps: DataFrame, most: int, percent: in
     rows = rows.select("key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "rep", "n", "comp", "mine", "band", "sig", "bands")
     best = sets is None
     if not best:
-        rows = rows.join(sharp_signatures(sets.join(rows.select("rep").distinct(), "rep", "left_semi")), "rep").select(*rows.columns, "sharp")
-    sharply = most_differing(percent / 100, slots=SHARP, bits=1)
+        rows = rows.join(parities(sets.join(rows.select("rep").distinct(), "rep", "left_semi")), "rep").select(*rows.columns, "parity")
 
     def bucket(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         if (x["comp"] == x["comp"][0]).all():
@@ -195,13 +211,16 @@ def remaining_pairs(members: DataFrame, comps: DataFrame, most: int, percent: in
         for i in range(len(x["rep"])):
             j = np.arange(0 if best else i + 1, len(x["rep"]))
             j = j[(x["comp"][j] != x["comp"][i]) & (whole | (x["mine"][j] != x["mine"][i]))]
-            j = j[_may_link(x["n"][j], x["n"][i], x["sig"][j], x["sig"][i], most, percent)]
-            if best and len(j):
-                j = j[np.argmin(differing(x["sig"][j], x["sig"][i]))][None]
+            if best:
+                j = j[_may_link(x["n"][j], x["n"][i], x["sig"][j], x["sig"][i], most, percent)]
+                if len(j):
+                    j = j[np.argmin(differing(x["sig"][j], x["sig"][i]))][None]
+            else:
+                j = j[_sizes_link(x["n"][j], x["n"][i], percent)]
+                for upto in (FIRST_WORDS, None):
+                    j = j[can_link(x["n"][j], x["n"][i], x["parity"][j, :upto], x["parity"][i, :upto], percent)]
             if len(j):
                 j = j[np.argmax(x["bands"][j] == x["bands"][i], axis=1) == x["band"][i]]
-            if len(j) and not best:
-                j = j[np.bitwise_count(x["sharp"][j] ^ x["sharp"][i]).sum(axis=1, dtype=np.int64) <= sharply]
             if len(j):
                 yield _pairs(x["rep"][j], np.full(len(j), x["rep"][i]))
 

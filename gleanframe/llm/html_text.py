@@ -1,6 +1,6 @@
 """Main text of web pages by template deduction over equivalence classes.
 
-1. A page is a row of tokens: its tags, each with the path it stands at, and its short texts, each
+1. A page is a row of tokens: its tags, each with the path it stands at, and its texts, each
    with its path. Tokens of one host with equal occurrence vectors (how often each page has them)
    form a class. A class is large enough if it occurs on half of the host's pages; it is valid if
    the places its tokens hang at belong to one class, the class itself, or none, so that classes
@@ -39,7 +39,7 @@ CHROME_WORDS = frozenset("ad ads adv advert adverts advertisement advertising ad
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
 ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 WORD = re.compile(r"[a-z]+")
-SHORT_WORDS, LEAST_PAGES, LEAST_SHARE = 8, 8, 0.5
+LEAST_PAGES, LEAST_SHARE = 8, 0.5
 BROADCAST_BYTES = 16 << 20
 
 
@@ -165,7 +165,7 @@ def tokens_of(pages: DataFrame) -> DataFrame:
                 blocks, paths = parse(page or "")
                 sign = _token(*(b.text for b in blocks if not b.chrome))
                 found = {_token("tag", p): (_token("tag", p.rpartition("/")[0]), 0, n) for p, n in paths.items()}
-                texts = Counter((b.path, b.text) for b in blocks if b.text.count(" ") < SHORT_WORDS)
+                texts = Counter((b.path, b.text) for b in blocks)
                 found |= {_token("text", p, t): (_token("tag", p), 1, n) for (p, t), n in texts.items()}
                 found[0] = (0, 0, 1)  # the page itself
                 for token, (up, is_text, n) in found.items():
@@ -204,11 +204,12 @@ def templates(tokens: DataFrame) -> DataFrame:
 def main_text(page: str | None, frame: set[int], texts: set[int]) -> str:
     """The article: blocks of the main slots, each on a line."""
     blocks, _ = parse(page or "")
-    if texts:
-        blocks = [b for b in blocks if b.heading or b.text.count(" ") >= SHORT_WORDS or _token("text", b.path, b.text) not in texts]
-    if any(b.main for b in blocks):
-        return "\n".join(b.text for b in blocks if b.main and not b.chrome_in_main)
-    left = [b for b in blocks if not b.chrome]
+    marked = any(b.main for b in blocks)
+    left = [b for b in blocks if (b.main and not b.chrome_in_main if marked else not b.chrome)]
+    # Texts of any length belong to the template; a page of nothing else keeps them.
+    left = [b for b in left if b.heading or _token("text", b.path, b.text) not in texts] or left
+    if marked:
+        return "\n".join(b.text for b in left)
     # Without a marked element the slots speak: a slot hangs at the deepest template path above it, two levels over the text.
     slots: dict[str, int] = {}
 

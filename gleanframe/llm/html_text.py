@@ -8,7 +8,8 @@
 2. What stands between template tokens is a slot. A text that belongs to the template is dropped,
    as are slots in page furniture (menus, headers, footers, sidebars, notices, adverts, forms,
    comments); of the slots left, those of the main element are the article. Where no element is
-   marked as main, it is the slot with the most words.
+   marked as main, all of them are, but for labels: texts of at most LABEL_WORDS words that stand
+   loose at the top of the page, in no element for text and at no place of the template.
 Occurrence vectors are kept as sums of hashes over pages, so a host with a third of all pages is
 summed up before it is sent.
 """
@@ -40,6 +41,7 @@ TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\
 ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 WORD = re.compile(r"[a-z]+")
 LEAST_PAGES, LEAST_SHARE = 8, 0.5
+LABEL_WORDS, LOOSE_TAGS = 8, frozenset("html body div section center".split())
 BROADCAST_BYTES = 16 << 20
 
 
@@ -208,23 +210,16 @@ def main_text(page: str | None, frame: set[int], texts: set[int]) -> str:
     left = [b for b in blocks if (b.main and not b.chrome_in_main if marked else not b.chrome)]
     # Texts of any length belong to the template; a page of nothing else keeps them.
     left = [b for b in left if b.heading or _token("text", b.path, b.text) not in texts] or left
-    if marked:
-        return "\n".join(b.text for b in left)
-    # Without a marked element the slots speak: a slot hangs at the deepest template path above it, two levels over the text.
-    slots: dict[str, int] = {}
-
-    def slot(b: Block) -> str:
-        path = b.path.rpartition("/")[0]
-        while path and frame and _token("tag", path) not in frame:
-            path = path.rpartition("/")[0]
-        return path
-
-    for b in left:
-        slots[slot(b)] = slots.get(slot(b), 0) + b.text.count(" ") + 1
-    if not slots:
-        return ""
-    best = max(slots, key=lambda s: (slots[s], -len(s)))
-    return "\n".join(b.text for b in left if b.path.startswith(best))
+    if not marked:
+        left = [b for b in left if not _is_label(b, frame)] or left
+    return "\n".join(b.text for b in left)
+
+
+def _is_label(b: Block, frame: set[int]) -> bool:
+    """A few words at the top of the page that are no paragraph, heading, list or the like and no slot of the template."""
+    *above, own = (re.split("[.#]", mark, maxsplit=1)[0] for mark in b.path.split("/"))
+    top = all(tag in ("", "html", "body") for tag in above)
+    return top and (own in LOOSE_TAGS or own not in BLOCKS) and b.text.count(" ") < LABEL_WORDS and _token("tag", b.path) not in frame
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
-from gleanframe.llm.html_text import extract
+import pytest
+
+from gleanframe.llm.html_text import extract, main_text
 
 
 def test_long_texts_of_the_template_are_dropped_in_a_marked_element(spark):
@@ -11,3 +13,19 @@ def test_long_texts_of_the_template_are_dropped_in_a_marked_element(spark):
     own = lambda i: f"Story {i} has a long text of its own that no other page of the host has, {i}."
     assert all(got[i] == f"Story {i}\n{own(i)}" for i in range(12))
     assert got[100] == f"Story 100\n{advert}\n{own(100)}"
+
+
+WORDS = " ".join(f"w{i}" for i in range(50))
+UNMARKED = [
+    ("<body><div class=post><h1>Title</h1><div class=text><p>One two three.</p><p>Four five six.</p></div></div>", "Title\nOne two three.\nFour five six."),
+    (f"<body><div class=post><div class=first><p>{WORDS}</p></div><div class=second><p>The shorter part.</p></div></div>", f"{WORDS}\nThe shorter part."),
+    (f"<body><h1>Title</h1><p>A short lead.</p><div class=first><p>{WORDS}</p></div><div class=second><p>The rest.</p></div>", f"Title\nA short lead.\n{WORDS}\nThe rest."),
+    (f"<body><div class=post><p>Ten words that come before a list of many items.</p><ul><li>{WORDS}</ul></div>", f"Ten words that come before a list of many items.\n{WORDS}"),
+    (f"<body>A text that stands loose but has more than eight words.<div class=post><p>{WORDS}</p></div><div>Label</div>", f"A text that stands loose but has more than eight words.\n{WORDS}"),
+    ("<body>Alone", "Alone"),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), UNMARKED)
+def test_all_slots_of_an_unmarked_page_stay(page, want):
+    assert main_text(page, set(), set()) == want

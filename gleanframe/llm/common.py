@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,6 +26,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: The most that a batch of rows between Spark and a Python worker takes, but for a single longer row.
+BATCH_BYTES = 2 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds batches by bytes, whatever the length of the texts; a bound that the session names stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def slices(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
+    """Runs (from, to) of rows that take at most ``limit`` bytes together, or are a single longer row."""
+    lo, hi, held = 0, 0, 0
+    for size in sizes:
+        if hi > lo and held + size > limit:
+            yield lo, hi
+            lo, held = hi, 0
+        hi += 1
+        held += size
+    if hi > lo:
+        yield lo, hi
+
+
+def text_slices(texts: Sequence[str | None], limit: int) -> Iterator[tuple[int, int]]:
+    return slices((4 * len(t or "") if t and not t.isascii() else len(t or "") for t in texts), limit)
+
+
 class Scratch:
     """Tables written to the shared folder, so that later steps never recompute earlier ones.
 
@@ -34,6 +62,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        bound_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

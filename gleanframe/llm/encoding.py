@@ -12,7 +12,8 @@ CUTS = {
     "bytes": re.compile(f"[{SPACE}]+(?![^{SPACE}])| ?[^{SPACE}]+|[{SPACE}]"),
     "words": re.compile(f"[^{SPACE}]+"),
 }
-CACHE_PIECES = 800_000
+#: What one generation of kept pieces may take (of those that begin a line, and of words), what an entry takes besides its characters, and the longest piece kept.
+CACHE_BYTES, WORD_BYTES, ENTRY_BYTES, LONGEST_PIECE = 16 << 20, 48 << 20, 160, 64
 #: Pieces whose tokens need no pattern of the library's: one run of letters, or of marks but the apostrophe.
 INNER = {
     "bytes": re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[!-&(-/:-@\[-`{-~]+"),
@@ -31,33 +32,51 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in prints else chr(next(rest)) for b in range(256)]
 
 
-class PieceEncoder(dict):
+class Kept(dict):
+    """Ids of pieces met before: at most two generations of ``limit`` bytes each.
+
+    When the younger generation is full, the older one is let go; pieces of more than
+    LONGEST_PIECE characters aren't kept. What is kept never changes an id.
+    """
+
+    def __init__(self, limit: int):
+        self.old, self.bytes, self.limit = {}, 0, limit
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.made(piece)
+            if len(piece) > LONGEST_PIECE:
+                return ids
+        self.bytes += ENTRY_BYTES + 2 * len(piece) + len(ids)
+        if self.bytes > self.limit:
+            self.old = {}  # let go before the younger one is copied
+            self.old, self.bytes = dict(self), 0
+            self.clear()
+        self[piece] = ids
+        return ids
+
+    def made(self, piece: str) -> bytes:
+        raise NotImplementedError
+
+
+class PieceEncoder(Kept):
     """Maps a piece of text to the bytes of its ids (unsigned 32-bit, as the machine orders them: little-endian).
 
     A text is cut at white space, where the pre-tokenizer cuts it too, so the ids of a text are
     those of its pieces in a row. A piece that is all runs of Latin letters and marks is cut at
     their borders as well, and the library's model gets the runs; any other piece goes through
-    the whole tokenizer. Memory stays bounded: there are two generations of kept pieces, and
-    the older one is let go when the younger is full.
+    the whole tokenizer.
     """
 
     def __init__(self, path: str, kind: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cut, self.inner, self.kind, self.old = Tokenizer.from_file(path), CUTS[kind], INNER[kind], kind, {}
+        super().__init__(WORD_BYTES if kind == "words" else CACHE_BYTES)
+        self.tokenizer, self.cut, self.inner, self.kind = Tokenizer.from_file(path), CUTS[kind], INNER[kind], kind
         self.model, self.letters, self.after = self.tokenizer.model, byte_letters(), AfterSpace(self)
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE_PIECES:
-            self.old = dict(self)
-            self.clear()
-        ids = self.old.get(piece)
-        if ids is None:
-            ids = self._whole(piece)
-        self[piece] = ids
-        return ids
-
-    def _whole(self, piece: str) -> bytes:
+    def made(self, piece: str) -> bytes:
         body = piece[1:] if piece[0] == " " else piece
         if body.isalpha() and max(body) < LATIN_END:
             return self._run(piece.lower() if self.kind == "words" else piece)
@@ -89,21 +108,15 @@ class PieceEncoder(dict):
         return self["\n"].join([self[w[0]] + b"".join(map(after, w[1:])) for w in words])
 
 
-class AfterSpace(dict):
+class AfterSpace(Kept):
     """Maps a word to the ids of that word with a space before it."""
 
     def __init__(self, of: PieceEncoder):
-        self.of, self.old = of, {}
+        super().__init__(WORD_BYTES)
+        self.of = of
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_PIECES:
-            self.old = dict(self)
-            self.clear()
-        ids = self.old.get(word)
-        if ids is None:
-            ids = self.of._whole(" " + word)
-        self[word] = ids
-        return ids
+    def made(self, word: str) -> bytes:
+        return self.of.made(" " + word)
 
 
 ODD = re.compile("[\x1c-\x1f]")

@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches, text_slices
 from .shingles import U, mix
 
 FEATURE_BITS, GRAMS = 18, (2, 3, 4)
 #: Documents of each language, at most, that the model is fitted on; and its rounds.
 FIT_DOCUMENTS, FIT_ROUNDS, SEQUENCE, PIECE_WORDS = 150, 30, 128, 25
-CHUNK, BLOCK = 2 << 20, 256
+#: Bytes of text that are labelled at once, and words in a block of the chain.
+CHUNK, BLOCK = 384 << 10, 128
 IS_WORD = np.array([chr(b).isascii() and chr(b).isalpha() or b >= 128 for b in range(256)])
 LETTER = re.compile(r"[^\W\d_]")
 PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=U)
@@ -254,17 +256,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            got: list[tuple[str, float]] = []
-            lo = 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi] or "") < CHUNK):
-                    size += len(texts[hi] or "")
-                    hi += 1
-                got += predict(model, texts[lo:hi])
-                lo = hi
+            got = [x for lo, hi in text_slices(texts, CHUNK) for x in predict(model, texts[lo:hi])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([g for g, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
+    bound_batches(docs.sparkSession)
     return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
@@ -274,9 +269,9 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                piece = batch.slice(lo, 1000)
-                keep = [g != "und" for g, _ in predict(model, piece.column(at).to_pylist())]
-                yield piece.filter(pa.array(keep))
+            texts = batch.column(at).to_pylist()
+            keep = [g != "und" for lo, hi in text_slices(texts, CHUNK) for g, _ in predict(model, texts[lo:hi])]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -8,7 +8,7 @@
 4. Such pairs are confirmed on the full sets. Every member of a bucket is tested against a leader
    of the bucket that it is likely to be linked to, then, twice, against the likeliest member of
    another component; that joins large groups of near copies by few tests. At last all pairs that
-   remain between different components are tested, each in the first band the two share. No estimate
+   remain between different components are tested. No estimate
    drops any of them: only sizes do, and parities of 4096 parts of the sets, which show a number of
    differing shingles that the two have at least.
    So no link between different components goes untested, yet no group is expanded into all pairs.
@@ -26,9 +26,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, text_slices
 from .components import components
-from .shingles import U, mix, shingle_sets
+from .shingles import CHUNK, U, mix, shingle_sets
 
 HASHES, BANDS, BAND, BITS = 256, 32, 4, 2
 BLOCK = 2048
@@ -111,25 +111,24 @@ def parities(sets: DataFrame) -> DataFrame:
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """row_id, doc_id, n, h1, h2 (of the whole set), bands (packed keys), sig of each row; a row without words has null bands."""
+    """row_id, doc_id, t (the text's hash), n, h1, h2 (of the whole set), bands (packed keys), sig of each row; a row without words has null bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, no = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                piece = batch.slice(lo, 2000)
-                out: list[tuple] = []
-                for doc_id, s in zip(piece.column(0).to_pylist(), shingle_sets(piece.column(1).to_pylist(), k), strict=True):
-                    row = [(part << 36) + no, doc_id, len(s), 0, 0, None, None]
-                    no += 1
-                    if len(s):
-                        least = minima(s)
-                        row[3:] = int(s.sum(dtype=U).view(np.int64)), int(mix(s ^ LOW).sum(dtype=U).view(np.int64)), band_keys(least).tobytes(), signature(least).tobytes()
-                    out.append(tuple(row))
-                types = [pa.int64()] * 5 + [pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["row_id", "doc_id", "n", "h1", "h2", "bands", "sig"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "row_id long, doc_id long, n long, h1 long, h2 long, bands binary, sig binary")
+            out: list[tuple] = []
+            for doc_id, t, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), shingle_sets(batch.column(1).to_pylist(), k), strict=True):
+                row = [(part << 36) + no, doc_id, t, len(s), 0, 0, None, None]
+                no += 1
+                if len(s):
+                    least = minima(s)
+                    row[4:] = int(s.sum(dtype=U).view(np.int64)), int(mix(s ^ LOW).sum(dtype=U).view(np.int64)), band_keys(least).tobytes(), signature(least).tobytes()
+                out.append(tuple(row))
+            if out:
+                types = [pa.int64()] * 6 + [pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["row_id", "doc_id", "t", "n", "h1", "h2", "bands", "sig"])
+
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(run, "row_id long, doc_id long, t long, n long, h1 long, h2 long, bands binary, sig binary")
 
 
 def runs_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[dict[str, np.ndarray]]:
@@ -151,7 +150,7 @@ def runs_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[dict[str,
 
 
 def _arrays(table: pa.Table) -> dict[str, np.ndarray]:
-    packed = {"sig", "bands", "parity"}.intersection(table.column_names)
+    packed = {"sig", "parity"}.intersection(table.column_names)
     out = {n: table.column(n).to_numpy() for n in table.column_names if n not in packed}
     return out | {n: np.frombuffer(b"".join(table.column(n).to_pylist()), dtype=U).reshape(table.num_rows, -1) for n in packed}
 
@@ -191,15 +190,15 @@ def remaining_pairs(members: DataFrame, comps: DataFrame, most: int, percent: in
     """Pairs of one bucket and different components that may be linked.
 
     Without ``sets`` each member with the one that differs least, if that is likely to be linked;
-    with the members' full sets all pairs whose sizes and parities don't rule a link out. A pair is only made in the first band that
-    both share. Only buckets with more than one component are looked at; one of many
-    blocks is dealt to tasks by pairs of blocks.
+    with the members' full sets all pairs whose sizes and parities don't rule a link out; a pair may
+    come from several buckets. Only buckets with more than one component are looked at; one of
+    many blocks is dealt to tasks by pairs of blocks.
     """
     now = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", "m")
     rows = now.drop("m").join(mixed, "key").withColumn("blocks", F.ceil(F.col("m") / BLOCK)).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "rep", "n", "comp", "mine", "band", "sig", "bands")
+    rows = rows.select("key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "rep", "n", "comp", "mine", "sig")
     best = sets is None
     if not best:
         rows = rows.join(parities(sets.join(rows.select("rep").distinct(), "rep", "left_semi")), "rep").select(*rows.columns, "parity")
@@ -219,8 +218,6 @@ def remaining_pairs(members: DataFrame, comps: DataFrame, most: int, percent: in
                 j = j[_sizes_link(x["n"][j], x["n"][i], percent)]
                 for upto in (FIRST_WORDS, None):
                     j = j[can_link(x["n"][j], x["n"][i], x["parity"][j, :upto], x["parity"][i, :upto], percent)]
-            if len(j):
-                j = j[np.argmax(x["bands"][j] == x["bands"][i], axis=1) == x["band"][i]]
             if len(j):
                 yield _pairs(x["rep"][j], np.full(len(j), x["rep"][i]))
 
@@ -238,8 +235,9 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                sets = list(shingle_sets(batch.column(0).slice(lo, 500).to_pylist(), k))
+            texts = batch.column(0).to_pylist()
+            for lo, hi in text_slices(texts, CHUNK):
+                sets = list(shingle_sets(texts[lo:hi], k))
                 one, two = ([int(f(s).sum(dtype=U).view(np.int64)) for s in sets] for f in (lambda s: s, lambda s: mix(s ^ LOW)))
                 yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["h1", "h2", "items"])
 
@@ -266,25 +264,20 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """Groups of near-duplicates: doc_id, n_shingles, component_id, kept.
-
-    A document's component is all that links reach; component_id is its least doc_id and ``kept``
-    says whether that is the document's own. Null or empty text, or text of white space alone:
-    no shingles, no links. Rows of equal doc_id are compared each on its own text (and the one
-    whose id is the component's is kept); a null doc_id never names a component that has another id.
-    """
+def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc_id, t, n, comp, component_id) of each row; comp is null for a row without shingles."""
     scratch = Scratch(docs.sparkSession, "minhash")
     most, likely = most_differing(percent / 100), most_differing(percent / 100, 0)
     sketch = scratch.table("sketches", sketches(docs, k))
     worded = sketch.where("n > 0")
     classes = scratch.table("classes", worded.groupBy("h1", "h2", "n").agg(F.min("row_id").alias("rep"), F.min("doc_id").alias("least")))
-    reps = worded.join(classes.select("rep"), worded.row_id == F.col("rep")).select("rep", "n", "sig", "bands")
+    reps = scratch.table("reps", worded.join(classes.select("rep"), worded.row_id == F.col("rep")).select("rep", "n", "sig", "bands"))
     hexed = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring(F.col("bands"), i * 8 + 1, F.lit(8)))
-    keyed = reps.select("rep", F.posexplode(hexed).alias("band", "word")).select("rep", "band", F.xxhash64("word", "band").alias("key"))
+    keyed = reps.select("rep", F.posexplode(hexed).alias("band", "word")).select("rep", F.xxhash64("word", "band").alias("key"))
     keys = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     shared = scratch.table("shared", keyed.join(keys, "key"))
-    members = scratch.table("members", shared.join(reps, "rep").select("key", "band", "rep", "n", "sig", "bands", "m"))
+    members = scratch.table("members", shared.join(reps.drop("bands"), "rep").select("key", "rep", "n", "sig", "m"))
+    scratch.drop("shared", "reps")
     wanted = members.select("rep").distinct().join(classes, "rep").select("rep", "least", "h1", "h2")
     sets = scratch.table("sets", full_sets(docs, wanted, k))
     links = scratch.table("links-0", confirmed(leader_pairs(members, likely, percent).distinct(), sets, percent))
@@ -297,13 +290,38 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             comps = components(scratch, f"comps-{i}", links)
     named = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    final = scratch.table("named", named.join(least, "comp").select("h1", "h2", F.col("n").alias("size"), "component_id"))
-    out = sketch.select("doc_id", "n", "h1", "h2").join(final.withColumnRenamed("size", "n"), ["h1", "h2", "n"], "left")
-    out = out.withColumn("component_id", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    final = scratch.table("named", named.join(least, "comp").select("h1", "h2", "n", "comp", "component_id"))
+    scratch.drop("members", "sets", "classes", *(f"{x}-{i}" for i in range(BEST_ROUNDS + 2) for x in ("pairs", "links")))
+    out = sketch.select("doc_id", "t", "n", "h1", "h2").join(final, ["h1", "h2", "n"], "left")
+    return out.select("doc_id", "t", "n", "comp", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """Groups of near-duplicates: doc_id, n_shingles, component_id, kept.
+
+    A document's component is all that links reach; component_id is its least doc_id and ``kept``
+    says whether that is the document's own. Null or empty text, or text of white space alone:
+    no shingles, no links. Rows of equal doc_id are compared each on its own text (and each
+    whose id is the component's is kept); a null doc_id never names a component that has another id.
+    Texts of any length are compared whole. An empty table gives no rows; other columns aren't read.
+    """
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return grouped(docs, k, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, whose document stands for its group (any row of that doc_id)."""
-    kept = near_duplicates(docs, k, percent).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
+    """One row of ``docs``, all columns, of each group of near-duplicates: one with the group's least doc_id.
+
+    Of several such rows the one stays whose text hashes lowest, and of wholly repeated rows any
+    one. Rows without shingles belong to no group and all stay.
+    """
+    scratch = Scratch(docs.sparkSession, "deduplicated")
+    found = scratch.table("rows", grouped(docs, k, percent).where("comp is null or doc_id <=> component_id").select("doc_id", "t", "comp"))
+    per_text = found.where("comp is not null").groupBy("comp", "doc_id", "t").agg(F.count("*").alias("rows"))
+    chosen = per_text.groupBy("comp").agg(F.min(F.struct("t", "doc_id", "rows")).alias("c")).select(F.col("c.doc_id").alias("__id"), F.col("c.t").alias("__t"), F.col("c.rows").alias("__rows"))
+    chosen = scratch.table("chosen", chosen.unionByName(found.where("comp is null").select(F.col("doc_id").alias("__id"), F.col("t").alias("__t")).distinct().withColumn("__rows", F.lit(1).cast("long"))))
+    rows = docs.withColumn("__hash", F.xxhash64("text"))
+    same = lambda to: F.col("doc_id").eqNullSafe(to["__id"]) & (F.col("__hash") == to["__t"])
+    one, many = (chosen.where(f"__rows {x} 1") for x in ("=", ">"))
+    # Only rows that occur several times are dealt again, and copies of them meet before that.
+    return rows.join(one, same(one), "left_semi").unionByName(rows.join(many, same(many), "left_semi").dropDuplicates(["doc_id", "__hash"])).drop("__hash")

@@ -6,6 +6,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 
+from .common import text_slices
+
 U = np.uint64
 _RNG = np.random.default_rng(914_003)
 BYTE = _RNG.integers(0, 1 << 64, 256, dtype=U)
@@ -14,7 +16,8 @@ UNBASE = U(pow(int(BASE), -1, 1 << 64))
 STEP = _RNG.integers(0, 1 << 64, 64, dtype=U) | U(1)
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-CHUNK = 4 << 20
+#: Bytes of text whose words are hashed at once, but for a single longer text.
+CHUNK = 512 << 10
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -27,7 +30,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
-        size = max(n, CHUNK + (1 << 20))
+        size = max(n, 2 * CHUNK)
         for name, base in (("up", BASE), ("down", UNBASE)):
             held = np.empty(size, dtype=U)
             held[0] = 1
@@ -70,19 +73,7 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
 
 def shingle_sets(texts: Sequence[str | None], k: int) -> Iterator[np.ndarray]:
     """The set of each text, sorted: A-Z lower-cased, words are runs of all but ASCII white space."""
-    chunk: list[bytes] = []
-    size = 0
-
-    def sets() -> Iterator[np.ndarray]:
-        words, at = word_hashes(chunk)
+    for lo, hi in text_slices(texts, CHUNK):
+        words, at = word_hashes([(t or "").encode("utf-8", "surrogatepass").lower() for t in texts[lo:hi]])
         for a, b in zip(at, at[1:], strict=False):
             yield np.unique(shingle_hashes(words[a:b], k))
-
-    for text in texts:
-        chunk.append((text or "").encode("utf-8", "surrogatepass").lower())
-        size += len(chunk[-1]) + 1
-        if size >= CHUNK:
-            yield from sets()
-            chunk, size = [], 0
-    if chunk:
-        yield from sets()

@@ -45,3 +45,15 @@ def test_parities_never_rule_out_a_link():
         assert may or not linked
         dropped += not may
     assert dropped > 300
+
+
+def test_one_row_of_each_group_stays(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, long, "a"), (1, long, "b"), (1, long + " more", "c"), (2, long, "d"), (3, "quite another text of some length", "e"), (3, "and a second text under one id", "f"), (4, "", "g"), (4, None, "h"), (None, "no id " + long[::-1], "i"), (None, "no id " + long[::-1], "j")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `source.x` string").repartition(3)
+    got = minhash.drop_near_duplicates(docs, 4)
+    assert got.columns == docs.columns
+    kept = [tuple(r) for r in got.collect()]
+    assert sum(r[0] == 1 for r in kept) == 1 and not any(r[0] == 2 for r in kept)
+    assert {r[2] for r in kept if r[0] in (3, 4)} == set("efgh") and sum(r[0] is None for r in kept) == 1
+    assert minhash.drop_near_duplicates(docs.limit(0)).count() == 0

@@ -80,8 +80,8 @@ def test_surrogates_keep_form_and_identity(spark):
 
 
 def test_collisions_are_resolved(spark, monkeypatch):
-    monkeypatch.setattr(pii_module, "surrogate", lambda value, of, key, attempt: pii_module.F.concat(pii_module.F.lit("s"), pii_module.F.pmod(pii_module.F.xxhash64(value, pii_module.F.lit(attempt)), pii_module.F.lit(60)).cast("string")))
-    entities = spark.createDataFrame([(f"e{i}", "email") for i in range(40)] + [("s7", "email")], "value string, kind string")
+    monkeypatch.setattr(pii_module, "surrogate", lambda canon, of, form, key, attempt: pii_module.F.concat(pii_module.F.lit("s"), pii_module.F.pmod(pii_module.F.xxhash64(canon, pii_module.F.lit(attempt)), pii_module.F.lit(60)).cast("string")))
+    entities = spark.createDataFrame([(f"e{i}", "email", "") for i in range(40)] + [("s7", "email", "")], "canon string, kind string, form string")
     rows = assign(Scratch(spark, "t"), entities, "k").collect()
     assert len(rows) == len({r.surrogate for r in rows}) == 41 and "s7" not in {r.surrogate for r in rows}
 

@@ -14,33 +14,43 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, text_slices
 from .shingles import U, mix
 
 FEATURE_BITS, GRAMS = 18, (2, 3, 4)
-#: Documents of each language, at most, that the model is fitted on; and its rounds.
-FIT_DOCUMENTS, FIT_ROUNDS, SEQUENCE, PIECE_WORDS = 150, 30, 128, 25
+#: Documents of each language, and bytes of their texts, at most, that the model is fitted on; and its rounds.
+FIT_DOCUMENTS, FIT_BYTES, FIT_ROUNDS, SEQUENCE, PIECE_WORDS = 150, 2 << 20, 30, 128, 25
 #: Bytes of text that are labelled at once, and words in a block of the chain.
 CHUNK, BLOCK = 384 << 10, 128
 IS_WORD = np.array([chr(b).isascii() and chr(b).isalpha() or b >= 128 for b in range(256)])
-LETTER = re.compile(r"[^\W\d_]")
+WORD_CHARACTER = re.compile(r"[^\W\d_]")
 PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=U)
 
 
-def word_features(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of all words in a row, where each word's begin, and where each text's words begin (one more at the end).
+def has_letters(text: str | None) -> bool:
+    """Whether a character is a letter; numbers in other forms (½, ², Ⅷ, ①) aren't."""
+    return any(m[0].isalpha() for m in WORD_CHARACTER.finditer(text or ""))
 
-    Every word stands between two border bytes, so n-grams are runs of bytes within one word.
-    """
+
+def word_spans(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts between border bytes, where each begins, first and last byte of each word, and where each text's words begin (one more at the end)."""
     data = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", dtype=np.uint8)
     starts = np.cumsum([1, *(len(t) + 1 for t in texts)])
     inner = IS_WORD[data]
     first = np.flatnonzero(inner[1:] & ~inner[:-1]) + 1
     last = np.flatnonzero(inner[:-1] & ~inner[1:])
-    of_text = np.searchsorted(first, starts)
+    return data, starts, first, last, np.searchsorted(first, starts)
+
+
+def word_features(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of all words in a row, where each word's begin, and where each text's words begin (one more at the end).
+
+    Every word stands between two border bytes, so n-grams are runs of bytes within one word.
+    """
+    data, _, first, last, of_text = word_spans(texts)
     if not len(first):
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), of_text
     length = last - first + 3  # with both borders
@@ -85,8 +95,8 @@ class Model:
         return np.stack([np.add.reduceat(self.weights[:, i][features], at) for i in range(len(self.languages))], axis=1) / np.sqrt(count)[:, None]
 
 
-def chain_marginals(scores: np.ndarray, begins: np.ndarray, transitions: np.ndarray, block: int = BLOCK) -> np.ndarray:
-    """Label probabilities of every word by forward-backward; ``begins`` marks the words that begin a text.
+def chain_messages(scores: np.ndarray, begins: np.ndarray, transitions: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Emissions and transitions as factors, and the messages forward (with the word's emission) and backward (without) at every word, each scaled; ``begins`` marks the words that begin a text.
 
     A text's beginning forgets what stands before it, so all texts form one chain. The chain is cut
     into blocks whose transfer matrices are multiplied side by side; a pass over the blocks then
@@ -94,7 +104,7 @@ def chain_marginals(scores: np.ndarray, begins: np.ndarray, transitions: np.ndar
     """
     n, labels = scores.shape
     if not n:
-        return scores
+        return scores, np.exp(transitions), scores, scores
     e = np.exp(scores - scores.max(axis=1, keepdims=True)).astype(np.float64)
     t = np.exp(transitions - transitions.max()).astype(np.float64)
     blocks = -(-n // block)
@@ -132,17 +142,33 @@ def chain_marginals(scores: np.ndarray, begins: np.ndarray, transitions: np.ndar
         v = onward(v, k) * e[:, k, None, :]
         v /= v.sum(axis=-1, keepdims=True)
         forward[:, k] = v[:, 0]
-    out = np.empty_like(forward)
+    backward = np.empty_like(forward)
     w = back
     for k in range(block - 1, -1, -1):
-        both = forward[:, k] * w
-        out[:, k] = both / both.sum(axis=1, keepdims=True)
+        backward[:, k] = w
         x = w * e[:, k]
         w = x @ t.T
         fresh = new[:, k]
         w[fresh] = x[fresh].sum(axis=1, keepdims=True)
         w /= w.sum(axis=1, keepdims=True)
-    return out.reshape(-1, labels)[:n]
+    whole = lambda x: x.reshape(-1, labels)[:n]
+    return whole(e), t, whole(forward), whole(backward)
+
+
+def chain_marginals(scores: np.ndarray, begins: np.ndarray, transitions: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """Label probabilities of every word by forward-backward."""
+    _, _, forward, backward = chain_messages(scores, begins, transitions, block)
+    both = forward * backward
+    return both / both.sum(axis=1, keepdims=True)
+
+
+def expected_transitions(messages: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], begins: np.ndarray) -> np.ndarray:
+    """How often each label is expected to follow each: sums of the pair marginals forward * transition * emission * backward."""
+    e, t, forward, backward = messages
+    inner = ~begins[1:]
+    before, after = forward[:-1][inner], (e * backward)[1:][inner]
+    total = ((before @ t) * after).sum(axis=1, keepdims=True)
+    return t * ((before / total).T @ after)
 
 
 def mixed_sequences(words: list[np.ndarray], labels: list[int], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -178,22 +204,20 @@ def fit(texts: list[str], langs: list[str], rounds: int = FIT_ROUNDS, seed: int
     owner, scale = np.repeat(np.arange(len(at)), counts), 1 / np.sqrt(counts)
     begins = np.zeros(x.shape, dtype=bool)
     begins[:, 0] = True
-    inner = ~begins.ravel()
     target = np.eye(n_labels)[y.ravel()]
     pairs = np.zeros((n_labels, n_labels))
     np.add.at(pairs, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
     m, v = [np.zeros_like(model.weights), np.zeros_like(model.transitions)], [np.zeros_like(model.weights), np.zeros_like(model.transitions)]
     for step in range(1, rounds + 1):
         scores = model.emissions(features, at)[x.ravel()]
-        gamma = chain_marginals(scores, begins.ravel(), model.transitions, SEQUENCE)
+        messages = chain_messages(scores, begins.ravel(), model.transitions, SEQUENCE)
+        gamma = messages[2] * messages[3]
+        gamma /= gamma.sum(axis=1, keepdims=True)
         error = np.zeros((len(at), n_labels))
         for i in range(n_labels):
             error[:, i] = np.bincount(x.ravel(), (target - gamma)[:, i], len(at)) * scale
         grad = np.stack([np.bincount(features, error[owner, i], 1 << FEATURE_BITS) for i in range(n_labels)], axis=1)
-        # Expected transitions from the words' probabilities on both sides, given the current model.
-        before, after = gamma[:-1][inner[1:]], gamma[1:][inner[1:]]
-        joint = before[:, :, None] * np.exp(model.transitions)[None] * after[:, None, :]
-        expect = (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+        expect = expected_transitions(messages, begins.ravel())
         for k, (p, g) in enumerate(((model.weights, grad / len(at) * 100 - 1e-4 * model.weights), (model.transitions, (pairs - expect) / len(at)))):
             m[k] = 0.8 * m[k] + 0.2 * g
             v[k] = 0.95 * v[k] + 0.05 * g * g
@@ -201,21 +225,24 @@ def fit(texts: list[str], langs: list[str], rounds: int = FIT_ROUNDS, seed: int
     return model
 
 
+def labelled(model: Model, texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Label probabilities of all words in a row, and where each text's words begin (one more at the end)."""
+    features, at, of_text = word_features(texts)
+    begins = np.zeros(len(at), dtype=bool)
+    begins[of_text[:-1][of_text[1:] > of_text[:-1]]] = True
+    return chain_marginals(model.emissions(features, at), begins, model.transitions), of_text
+
+
 def predict(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
     """The language of each whole text and the share of its words' probability; ``und`` without letters."""
     if not model.languages:
         return [("und", 0.0)] * len(texts)
-    raw = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
-    features, at, of_text = word_features(raw)
-    begins = np.zeros(len(at), dtype=bool)
-    full = of_text[1:] > of_text[:-1]
-    begins[of_text[:-1][full]] = True
-    gamma = chain_marginals(model.emissions(features, at), begins, model.transitions)
+    gamma, of_text = labelled(model, [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts])
     out: list[tuple[str, float]] = []
     sums = np.concatenate([np.zeros((1, len(model.languages))), np.cumsum(gamma, axis=0)])
     for i, text in enumerate(texts):
         a, b = of_text[i], of_text[i + 1]
-        if a == b or not LETTER.search(text or ""):
+        if a == b or not has_letters(text):
             out.append(("und", 0.0))
             continue
         share = (sums[b] - sums[a]) / (b - a)
@@ -224,30 +251,68 @@ def predict(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
     return out
 
 
+def label_words(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id and the text's runs of words in one language, in order: array of (lang, words, text, score).
+
+    ``text`` goes from the run's first word to its last, in lower case; ``score`` is the mean
+    probability of the label. Null text, and text without letters, has no runs.
+    """
+
+    def runs(raw: list[bytes], texts: list[str | None]) -> Iterator[list[dict]]:
+        data, _, first, last, of_text = word_spans(raw)
+        gamma = labelled(model, raw)[0]
+        label = gamma.argmax(axis=1)
+        whole = data.tobytes()
+        for i, text in enumerate(texts):
+            a, b = int(of_text[i]), int(of_text[i + 1])
+            cuts = [a, *(np.flatnonzero(label[a + 1 : b] != label[a : b - 1]) + a + 1).tolist(), b] if a < b and has_letters(text) else []
+            yield [{"lang": model.languages[label[x]], "words": y - x, "text": whole[first[x] : last[y - 1] + 1].decode("utf-8", "replace"), "score": float(gamma[x:y, label[x]].mean())} for x, y in zip(cuts, cuts[1:], strict=False)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64()), ("text", pa.string()), ("score", pa.float64())]))
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for lo, hi in text_slices(texts, CHUNK):
+                raw = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts[lo:hi]]
+                out = list(runs(raw, texts[lo:hi])) if model.languages else [[]] * (hi - lo)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(out, kind)], ["doc_id", "runs"])
+
+    bound_batches(docs.sparkSession)
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, runs array<struct<lang:string,words:long,text:string,score:double>>")
+
+
 def held_out() -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit_on(docs: DataFrame, per_language: int = FIT_DOCUMENTS) -> Model:
-    """Fits on at most ``per_language`` labelled documents of each language, whole, those whose ids hash lowest.
+def fit_on(docs: DataFrame, per_language: int = FIT_DOCUMENTS, bytes_per_language: int = FIT_BYTES) -> Model:
+    """Fits on labelled documents of each language, whole, those whose ids hash lowest: at most ``per_language`` and ``bytes_per_language``.
 
-    Only rows that aren't held out count. Rows without id, text or language teach nothing.
+    Only rows that aren't held out count. Rows without id, text or language teach nothing; of rows
+    that share id and language one does. A document that alone is over the bound teaches nothing.
     """
     known = docs.select("doc_id", "text", "lang").where("doc_id is not null and text is not null and lang is not null").where(~held_out())
+    known = known.select("*", F.xxhash64("text").alias("t"), F.octet_length("text").alias("size"), F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)).alias("place")).where(F.col("size") <= bytes_per_language)
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Model([], np.zeros((1 << FEATURE_BITS, 0), dtype=np.float32), np.zeros((0, 0), dtype=np.float32))
     share = F.create_map(*[x for g, n in counts.items() for x in (F.lit(g), F.lit(min(1.0, 1.5 * per_language / n + 20 / n)))])
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003))
-    rows = known.withColumn("place", place).where(F.col("place") < share[F.col("lang")] * 1_000_003).collect()
-    chosen: list[tuple[str, str]] = []
-    for g in sorted(counts):
-        chosen += [(r["text"], g) for r in sorted((r for r in rows if r["lang"] == g), key=lambda r: (r["place"], r["doc_id"], r["text"]))[:per_language]]
-    return fit([t for t, _ in chosen], [g for _, g in chosen])
+    # Rows of one id and language are one here, so there are about 1.5 times as many keys as documents wanted.
+    near = known.where(F.col("place") < share[F.col("lang")] * 1_000_003).groupBy("lang", "place", "doc_id").agg(F.min(F.struct("t", "size")).alias("x"))
+    order = Window.partitionBy("lang").orderBy("place", "doc_id")
+    keys = near.select("lang", "place", "doc_id", "x.*").withColumn("no", F.row_number().over(order)).withColumn("upto", F.sum("size").over(order))
+    chosen = [(r.lang, r.doc_id, r.t) for r in keys.where((F.col("no") <= per_language) & (F.col("upto") <= bytes_per_language)).select("lang", "doc_id", "t").collect()]
+    if not chosen:
+        return fit([], [])
+    wanted = docs.sparkSession.createDataFrame(chosen, "lang string, doc_id long, t long")
+    # As many rows as there are documents to fit on: bounded by the parameter.
+    rows = known.join(F.broadcast(wanted), ["lang", "doc_id", "t"]).groupBy("lang", "doc_id", "t", "place").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: (r["lang"], r["place"], r["doc_id"]))
+    return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of each document; reads doc_id and text alone.
+    """doc_id, held_out, lang_pred, score of each document; reads doc_id and text alone, texts of any length whole.
 
     ``lang_pred`` is ``und`` with score 0 for null text and text without letters. Rows of equal
     doc_id are labelled each on its own; a null doc_id counts as not held out.

@@ -14,16 +14,25 @@ from .common import Scratch, running_start
 BLOCK = 64
 
 
-def copy_links(nodes: DataFrame, *keys: str, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) of nodes with equal ``keys``: each to the least node of its block, blocks' least nodes to the group's.
+def copy_links(scratch: Scratch, nodes: DataFrame, *keys: str, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) of nodes with equal ``keys``: a tree in which each node hangs at the least node of its block.
 
-    Blocks hold about ``block`` nodes, so no node has many links however large its group.
+    Blocks hold about ``block`` nodes; the blocks' least nodes are put into blocks again until
+    one is left, so no node has many links however large its group.
     """
-    groups = nodes.groupBy(*keys).agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1")
-    member = nodes.join(groups, list(keys)).withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / block)))
-    subs = member.groupBy(*keys, "block").agg(F.min("node").alias("sub"), F.min("hub").alias("hub"))
-    inner = member.select(*keys, "block", "node").join(subs.select(*keys, "block", "sub"), [*keys, "block"]).select(F.col("node").alias("a"), F.col("sub").alias("b"))
-    return inner.where("a <> b").unionByName(subs.select(F.col("sub").alias("a"), F.col("hub").alias("b")).where("a <> b"))
+    # Written, so that Spark can split a large group in the join.
+    groups = scratch.table("groups", nodes.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"))
+    left = groups.agg(F.max("n")).first()[0] or 0
+    level, links = 0, None
+    members = nodes.join(groups, list(keys)).select(*keys, "node", "n")
+    while links is None or left > 1:
+        dealt = scratch.table(f"level-{level}", members.withColumn("n", F.ceil(F.col("n") / block)).withColumn("block", F.pmod(F.xxhash64("node", F.lit(level)), F.col("n"))))
+        least = dealt.groupBy(*keys, "n", "block").agg(F.min("node").alias("least"))
+        found = dealt.join(least, [*keys, "n", "block"]).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+        links = found if links is None else links.unionByName(found)
+        members = least.select(*keys, F.col("least").alias("node"), "n").where("n > 1")
+        left, level = -(-left // block), level + 1
+    return links
 
 
 def propagate(scratch: Scratch, nodes: DataFrame, links: DataFrame, shards: int, rounds: int) -> DataFrame:
@@ -65,7 +74,7 @@ def balanced_shards(docs: DataFrame, shards: int = 40, rounds: int = 4, links: D
     text = F.coalesce("text", F.lit(""))
     base = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("g1"), F.xxhash64(F.lit("wide"), text).alias("g2"))
     nodes = scratch.table("nodes", base.withColumn("node", F.monotonically_increasing_id()))
-    linked = copy_links(nodes, "g1", "g2")
+    linked = copy_links(scratch, nodes, "g1", "g2")
     if links is not None:
         ids = nodes.select("doc_id", "node")
         linked = linked.unionByName(links.join(ids.select(F.col("doc_id").alias("a"), F.col("node").alias("na")), "a").join(ids.select(F.col("doc_id").alias("b"), F.col("node").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b")).where("a <> b"))

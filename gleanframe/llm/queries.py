@@ -114,7 +114,7 @@ WITH turns AS (
   WHERE NOT EXISTS (SELECT 1 FROM whole w WHERE w.n > f.n AND w.body[1] = f.body[1] AND w.body[1:f.n] = f.body)
 )
 SELECT conv_id, place, n_turns, role, text,
-       '<|' || lower(trim(role)) || '|>' || chr(10) || replace(replace(text, '<|', '<'), '|>', '>') || '<|end|>' || chr(10) AS rendered
+       '<|' || replace(replace(lower(trim(role)), '<|', '<\|'), '|>', '|\>') || '|>' || chr(10) || replace(replace(text, '<|', '<\|'), '|>', '|\>') || '<|end|>' || chr(10) AS rendered
 FROM turns WHERE conv_id IN (SELECT conv_id FROM kept)
 """
 

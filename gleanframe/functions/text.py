@@ -40,29 +40,16 @@ def plain(value: Column, limit: int = 600) -> Column:
     return shorten(collapse(_text_of_markup(value)), limit)
 
 
-_MARKS = re.compile(r"[\W_]+")
-
-
-@F.pandas_udf(T.StringType())
-def _folded(values: pd.Series) -> pd.Series:
-    import unicodedata
-
-    def fold(v: str | None) -> str | None:
-        if v is None:
-            return None
-        text = unicodedata.normalize("NFKC", v).casefold()
-        return " ".join("".join(c if c.isalnum() else " " for c in text).split())
-
-    return values.map(fold)
+def _nfkc(value: Column) -> Column:
+    return F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), value, F.lit(True))
 
 
 def identity_form(value: Column) -> Column:
-    """NFKC, case-folded, letters and digits only; null counts as empty. Plain ASCII stays in the JVM."""
+    """NFKC, case-folded, letters and digits only; null counts as empty. ICU, which Spark ships, does what ASCII doesn't need."""
     text = F.coalesce(value, F.lit(""))
     ascii_form = F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
-    is_ascii = F.octet_length(text) == F.char_length(text)
-    # The function sees an empty text where the ASCII form serves.
-    return F.when(is_ascii, ascii_form).otherwise(_folded(F.when(is_ascii, F.lit("")).otherwise(text)))
+    folded = F.java_method(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), _nfkc(text), F.lit(True))
+    return F.when(F.octet_length(text) == F.char_length(text), ascii_form).otherwise(F.trim(F.regexp_replace(folded, r"[^\p{L}\p{N}]+", " ")))
 
 
 def clean(value: Column) -> Column:

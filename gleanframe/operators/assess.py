@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import base64
+import functools
 import json
+import re
 import threading
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Any, Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .templates import AnswerError, ConfigError, in_order, problems, read_answer, unestimated
+from .templates import AnswerError, ConfigError, in_order, problems, read_answer, schema, unestimated
 
 # How outside calls are paced and repeated.
 REQUESTS_PER_MINUTE, CALLS, CONTENT_ATTEMPTS, LONGEST_WAIT = 10, 4, 2, 90.0
@@ -38,6 +42,90 @@ class CallError(RuntimeError):
         return self.code in RETRY_CODES or self.status in RETRY_STATUS
 
 
+STATED_DELAY = re.compile(r"retry(?:[-_ ]?delay|[-_ ]?after| in)\W{0,6}(\d+(?:\.\d+)?)\s*(ms|s\b|$|\W)", re.I)
+
+
+def stated_delay(message: str) -> float | None:
+    """The seconds after which a service says that it may be called again."""
+    m = STATED_DELAY.search(message)
+    return float(m[1]) / (1000 if m[2].lower() == "ms" else 1) if m else None
+
+
+def read_pdf(spark: SparkSession, path: str, most: int = MAX_DOCUMENT_BYTES) -> bytes:
+    """A document to go with each call, by Spark's reader of whole files: a PDF of at most ``most`` bytes."""
+    rows = spark.read.format("binaryFile").load(path).select("length", "content").where(F.col("length") <= most).take(2)
+    if len(rows) != 1:
+        raise ConfigError(f"{path}: not one document of at most {most} bytes")
+    content = bytes(rows[0].content)
+    if not content.startswith(b"%PDF"):
+        raise ConfigError(f"{path}: not a PDF")
+    return content
+
+
+@dataclass
+class HttpAssessor:
+    """Asks a model over HTTP: one call with the instructions, the listing, the answer's schema and a document.
+
+    ``post`` takes a URL, headers and a body, and gives (status, text); it raises OSError where the
+    call fails. ``reply`` finds the answer's text in what came back. The document travels to each
+    task with this object, and is encoded once in a worker.
+    """
+
+    url: str
+    field: str
+    key: str = ""
+    document: bytes | None = None
+    home: str | None = None
+    post: Callable[[str, dict[str, str], bytes], tuple[int, str]] | None = None
+    reply: Callable[[Any], str | None] = lambda data: data.get("text") if isinstance(data, dict) else None
+
+    def __post_init__(self) -> None:
+        if not self.url:
+            raise ConfigError("no address of a model")
+
+    def prompt(self, listing: dict[str, Any], template: dict[str, Any]) -> str:
+        parts = [f"Assess how well the listing below suits a person who looks for: {self.field}."]
+        parts += ["The person's CV is attached."] if self.document else []
+        parts += [f"The person lives in {self.home}; estimate the way to work from there."] if self.home else []
+        parts += ["Answer with one JSON object, with exactly the fields of this template, in its order:", json.dumps(template, ensure_ascii=False, indent=1), "The listing:", json.dumps(listing, ensure_ascii=False, indent=1)]
+        return "\n".join(parts)
+
+    def __call__(self, listing: dict[str, Any], template: dict[str, Any], attempt: int) -> str:
+        payload: dict[str, Any] = {"prompt": self.prompt(listing, template), "schema": schema(template).jsonValue(), "attempt": attempt}
+        if self.document:
+            payload["document"] = {"type": "application/pdf", "data": encoded(self.document)}
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
+        try:
+            status, text = (self.post or over_http)(self.url, headers, json.dumps(payload, ensure_ascii=False).encode())
+        except OSError as error:
+            raise CallError(str(error), status="UNAVAILABLE") from error
+        if status in (401, 403):
+            raise ConfigError(f"the model refuses the key: status {status}")
+        if status >= 400:
+            named = re.search(r"\b([A-Z]+_[A-Z_]+|UNAVAILABLE)\b", text)
+            raise CallError(f"status {status}: {text[:300]}", status, named[1] if named else "", stated_delay(text))
+        try:
+            return self.reply(json.loads(text)) or ""
+        except ValueError:
+            return text
+
+
+@functools.lru_cache(maxsize=1)
+def encoded(document: bytes) -> str:
+    return base64.b64encode(document).decode()
+
+
+def over_http(url: str, headers: dict[str, str], body: bytes) -> tuple[int, str]:
+    from urllib.error import HTTPError
+    from urllib.request import Request, urlopen
+
+    try:
+        with urlopen(Request(url, body, headers), timeout=LONGEST_WAIT) as answer:
+            return answer.status, answer.read().decode("utf-8", "replace")
+    except HTTPError as error:
+        return error.code, error.read().decode("utf-8", "replace")
+
+
 def wait_before(error: CallError, attempt: int) -> float:
     """The delay the service states and a second, else one that doubles."""
     return min(LONGEST_WAIT, error.retry_after + 1 if error.retry_after is not None else 5.0 * 2**attempt)
@@ -117,9 +205,9 @@ def assess(rows: DataFrame, template: dict[str, Any], assessor: Assessor, per_mi
     return rows.repartition(lanes).mapInArrow(run, out)
 
 
-def parsed(rows: DataFrame, schema: T.StructType) -> DataFrame:
+def parsed(rows: DataFrame, fields: T.StructType) -> DataFrame:
     """``assessment`` (struct; loosely typed leaves are kept as text) and ``present`` (the fields it has) for each answer."""
-    loose = T.StructType([T.StructField(f.name, f.dataType if isinstance(f.dataType, (T.ArrayType, T.StructType)) else T.StringType()) for f in schema.fields])
+    loose = T.StructType([T.StructField(f.name, f.dataType if isinstance(f.dataType, (T.ArrayType, T.StructType)) else T.StringType()) for f in fields.fields])
     return rows.withColumn("assessment", F.from_json("answer", loose)).withColumn("present", F.json_object_keys("answer"))
 
 

@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanframe.session import checkpointed
+
 
 def first_wins(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """Of rows with equal key the first in ``order``; rows without a key all stay.
 
-    Only rows with a key are shuffled, and with the map-side half of a window group limit.
+    One window, whose groups are trimmed before the shuffle; each row without a key is a group of its own.
     """
-    first = Window.partitionBy(key).orderBy(*order)
-    keyed = df.where(F.col(key).isNotNull()).withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
-    return keyed.unionByName(df.where(F.col(key).isNull()))
+    alone = df.withColumn("__alone", F.when(F.col(key).isNull(), F.monotonically_increasing_id()))
+    first = Window.partitionBy(key, "__alone").orderBy(*order)
+    return alone.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n", "__alone")
 
 
 def quota(df: DataFrame, bucket: Sequence[str], order: Sequence[str], limit: int) -> DataFrame:
@@ -49,13 +51,32 @@ def fair_feed(df: DataFrame, site: str, bucket: str, order: Sequence[str], limit
     return interleave(in_site.where(F.col("site_rank") <= limit).drop("__depth"), site, ["site_rank"], limit * sites, "position")
 
 
-def greedy_quota(df: DataFrame, bucket: str, key: str, order: str, limit: int) -> DataFrame:
+def greedy_quota(df: DataFrame, bucket: str, key: str, order: str, limit: int, step: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Rows as they come: one is taken if its key is new and its bucket has room.
 
     A row turned away for lack of room doesn't use its key up, so a later bucket may take it.
-    The sequence is one fold: only the first row of each key in each bucket can matter, which is
-    cut down beforehand; the fold keeps keys and counts, not rows.
+    By deferred acceptance: each key proposes its earliest row still alive; each bucket holds its
+    ``limit`` earliest proposals and turns the others away for good; until none is turned away. Only
+    each bucket's edge is looked for, so no bucket is ranked in one task. ``step`` writes a round's
+    rows to cut the plan; by default a checkpoint does.
     """
+    if limit <= 0:
+        return df.limit(0)
+    step = step or checkpointed
+    live = step(df.withColumn("__n", F.row_number().over(Window.partitionBy(bucket, key).orderBy(order))).where("__n = 1").drop("__n"))
+    while True:
+        proposed = live.withColumn("__p", F.row_number().over(Window.partitionBy(key).orderBy(order)) == 1)
+        held = proposed.where("__p").withColumn("__r", F.row_number().over(Window.partitionBy(bucket).orderBy(order))).where(F.col("__r") <= limit)
+        edges = held.groupBy(F.col(bucket).alias("__bucket")).agg(F.max(order).alias("__edge"), F.count("*").alias("__held")).where(F.col("__held") == limit).drop("__held")
+        turned = F.col("__p") & F.coalesce(F.col(order) > F.col("__edge"), F.lit(False))
+        judged = step(proposed.join(edges, F.col(bucket).eqNullSafe(F.col("__bucket")), "left").withColumn("__turned", turned).drop("__bucket", "__edge"))
+        if judged.where("__turned").isEmpty():
+            return judged.where("__p").drop("__p", "__turned")
+        live = judged.where("not __turned").drop("__p", "__turned")
+
+
+def greedy_quota_fold(df: DataFrame, bucket: str, key: str, order: str, limit: int) -> DataFrame:
+    """The same rows as ``greedy_quota`` in one task, for inputs of known small size: a fold over the first row of each key in each bucket."""
     if limit <= 0:
         return df.limit(0)
     names = df.columns
@@ -77,25 +98,6 @@ def greedy_quota(df: DataFrame, bucket: str, key: str, order: str, limit: int) -
     return first.repartition(1).sortWithinPartitions(order).mapInPandas(fold, df.select(*names).schema)
 
 
-def greedy_quota_rounds(df: DataFrame, bucket: str, key: str, order: str, limit: int, step=lambda df: df) -> DataFrame:
-    """The same rows as ``greedy_quota`` by deferred acceptance, for inputs too large for one task.
-
-    Each key proposes its earliest row still alive; each bucket holds its ``limit`` earliest
-    proposals and turns the others away for good; until none is turned away. ``step`` may write
-    each round's rows to cut the plan.
-    """
-    if limit <= 0:
-        return df.limit(0)
-    live = df.withColumn("__n", F.row_number().over(Window.partitionBy(bucket, key).orderBy(order))).where("__n = 1").drop("__n")
-    while True:
-        proposed = live.withColumn("__p", F.row_number().over(Window.partitionBy(key).orderBy(order)))
-        ranked = proposed.withColumn("__r", F.when(F.col("__p") == 1, F.row_number().over(Window.partitionBy(bucket, F.col("__p") == 1).orderBy(order))))
-        judged = step(ranked)
-        if judged.where(F.col("__r") > limit).isEmpty():
-            return judged.where("__p = 1").drop("__p", "__r")
-        live = judged.where(F.col("__r").isNull() | (F.col("__r") <= limit)).drop("__p", "__r")
-
-
 def order_column(*parts: str) -> Column:
     """The place of a listing in the scan: page, term, site, position on the page."""
     return F.struct(*parts)

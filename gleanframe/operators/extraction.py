@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,26 +40,32 @@ def _spread(pages: DataFrame, keep: list[str], rows, schema: str) -> DataFrame:
 
 def anchors(pages: DataFrame, *keep: str) -> DataFrame:
     """All links of pages (body, page_url), with a flag for those in page furniture."""
-    rows = _spread(pages.select(*dict.fromkeys([*keep, "body", "page_url"])), list(keep), lambda p: extract.anchors(p["body"] or "", p["page_url"] or ""), ANCHORS)
+    rows = _spread(pages.select(*dict.fromkeys([*keep, "body", "page_url"])), list(keep), lambda p: extract.anchors(extract.parse(p["body"] or ""), p["page_url"] or ""), ANCHORS)
     return rows.withColumn("in_chrome", in_chrome(F.col("tags"), F.col("blobs"))).drop("tags", "blobs")
 
 
+def _good_link(page_url: str = "page_url"):
+    """Whether a link outside page furniture has the shape of a posting's."""
+    return ~F.col("in_chrome") & plausible_title(F.col("title")) & is_posting_url(F.col("url"), host(F.col(page_url)))
+
+
 def linked_listings(pages: DataFrame, *keep: str) -> DataFrame:
     """Listings by the shape of links: title and URL of each posting outside page furniture, each URL once a page."""
-    found = anchors(pages, *dict.fromkeys([*keep, "page_url"]))
-    good = found.where(~F.col("in_chrome") & plausible_title(F.col("title")) & is_posting_url(F.col("url"), host(F.col("page_url"))))
-    return good.groupBy(*dict.fromkeys([*keep, "page_url"]), "url").agg(F.min(F.struct("pos", "title")).alias("first")).select(*dict.fromkeys([*keep, "page_url"]), F.col("first.pos").alias("pos"), F.col("first.title").alias("title"), "url")
+    keep = tuple(dict.fromkeys([*keep, "page_url"]))
+    good = anchors(pages, *keep).where(_good_link())
+    return good.groupBy(*keep, "url").agg(F.min(F.struct("pos", "title")).alias("first")).select(*keep, F.col("first.pos").alias("pos"), F.col("first.title").alias("title"), "url")
 
 
 def listings(pages: DataFrame, *keep: str, parsers: Mapping[str, extract.Parser] | None = None) -> DataFrame:
     """Listings of fetched pages (body, page_url, content_type, parser) with their place on the page.
 
     A page goes to its own parser if it names one, else by its kind to the JSON or the HTML
-    reader; HTML without JSON-LD postings is read by its links.
+    reader; HTML without JSON-LD postings is read by its links. Each page is parsed once: such a
+    page gives its links, which are judged as columns.
     """
     known = dict(extract.PARSERS) | dict(parsers or {})
     keep = tuple(dict.fromkeys([*keep, "page_url"]))
-    pages = pages.withColumn("is_json", looks_like_json(F.coalesce("body", F.lit("")), F.coalesce("content_type", F.lit(""))))
+    read = pages.select(*keep, "body", "parser", looks_like_json(F.coalesce("body", F.lit("")), F.coalesce("content_type", F.lit(""))).alias("is_json"))
 
     def rows(page: dict) -> list[dict]:
         body, url = page["body"] or "", page["page_url"] or ""
@@ -68,14 +74,15 @@ def listings(pages: DataFrame, *keep: str, parsers: Mapping[str, extract.Parser]
         elif page["is_json"]:
             found = extract.from_json(body, url)
         else:
-            found = extract.from_json_ld(extract.parse(body), url)
-        return [{"pos": i, **row} for i, row in enumerate(found)]
-
-    read = pages.select(*keep, "body", "parser", "is_json")
-    direct = _spread(read, list(keep), rows, f"pos int, {ROWS}")
-    rest = pages.where(F.col("parser").isNull() & ~F.col("is_json")).select(*keep, "body")
-    # Pages that gave no posting are read by their links.
-    given = direct.select("page_url").distinct()
-    linked = linked_listings(rest.join(given, "page_url", "left_anti"), *keep)
-    columns = [*keep, "pos", *extract.FIELDS]
-    return direct.select(columns).unionByName(linked.select(*keep, "pos", "title", "url"), allowMissingColumns=True).select(columns)
+            tree = extract.parse(body)
+            found = extract.from_json_ld(tree, url)
+            if not found:
+                return [{"is_link": True, **link} for link in extract.anchors(tree, url)]
+        return [{"is_link": False, "pos": i, **row} for i, row in enumerate(found)]
+
+    parsed = _spread(read, list(keep), rows, f"is_link boolean, pos int, {ROWS}, tags array<string>, blobs array<string>")
+    links = parsed.withColumn("in_chrome", F.col("is_link") & in_chrome(F.coalesce("tags", F.array()), F.coalesce("blobs", F.array()))).drop("tags", "blobs")
+    good = links.where(~F.col("is_link") | _good_link())
+    # Links of one page with equal URL are one listing; other rows stand each for itself.
+    same = Window.partitionBy(*keep, "is_link", F.when(F.col("is_link"), F.col("url")).otherwise(F.col("pos").cast("string"))).orderBy("pos")
+    return good.withColumn("__n", F.row_number().over(same)).where("__n = 1").select(*keep, "pos", *extract.FIELDS)

@@ -109,6 +109,18 @@ def history_anti_join(spark, sf_dir):
     return docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
+@query("""SELECT doc_id, source FROM documents WHERE CAST(doc_id AS VARCHAR) NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM (SELECT DISTINCT doc_id FROM labels ORDER BY doc_id DESC LIMIT 700))""")
+def history_fresh(spark, sf_dir):
+    """Documents that a bounded history, filled with the labelled ones, doesn't hold."""
+    from gleanframe.session import scratch_path
+    from gleanframe.sources.defaults import HISTORY_SIZE
+    from gleanframe.streaming.history import History
+
+    history = History(spark, scratch_path(spark, "history"), HISTORY_SIZE)
+    history.add(table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("job_id"), F.col("doc_id").alias("seq")))
+    return history.fresh(table(spark, sf_dir, "documents").select("doc_id", "source", F.col("doc_id").cast("string").alias("job_id"))).drop("job_id")
+
+
 @query("""WITH f AS (SELECT user_id, min(event_id) AS seq FROM events WHERE user_id IS NOT NULL GROUP BY user_id)
 SELECT user_id, seq FROM f QUALIFY row_number() OVER (ORDER BY seq DESC) <= 100""")
 def bounded_fifo(spark, sf_dir):
@@ -135,7 +147,12 @@ def fair_interleave(spark, sf_dir):
     return collect.fair_feed(docs, "source", "lang", ["doc_id"], 10, 20).select("doc_id", "source", "lang", "site_rank", "position")
 
 
-@query()
+@query(CONTENT.replace("WITH n AS", "WITH RECURSIVE n AS") + """, r AS (SELECT doc_id, source, job_id, row_number() OVER (ORDER BY doc_id) AS rn FROM ids),
+fold AS (SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS VARCHAR[]) AS keys, CAST([] AS VARCHAR[]) AS sources, false AS took
+  UNION ALL SELECT rn, CASE WHEN ok THEN list_append(keys, k) ELSE keys END, CASE WHEN ok THEN list_append(sources, s) ELSE sources END, ok
+  FROM (SELECT r.rn, f.keys, f.sources, coalesce(r.job_id, '') AS k, coalesce(r.source, '') AS s,
+    NOT list_contains(f.keys, coalesce(r.job_id, '')) AND len(list_filter(f.sources, lambda x: x = coalesce(r.source, ''))) < 20 AS ok FROM fold f JOIN r ON r.rn = f.rn + 1))
+SELECT r.doc_id, r.source, r.job_id FROM r JOIN fold f ON f.rn = r.rn WHERE f.took""")
 def greedy_quota_dedup(spark, sf_dir):
     docs = with_identity(table(spark, sf_dir, "documents"), company=False).select("doc_id", "source", "job_id")
     return collect.greedy_quota(docs, "source", "job_id", "doc_id", 20)

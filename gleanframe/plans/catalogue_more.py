@@ -8,20 +8,24 @@ from pyspark.sql import functions as F
 
 from gleanframe.functions import text as tx
 from gleanframe.operators import delivery, extraction, templates
+from gleanframe.session import scratch_path
 
+from . import cycle
 from .catalogue import query, table
 
 ANSWER = {"role": "user | assistant", "turn": "<int> the turn, never 0", "text": "what was said"}
 
 
-@query("""SELECT conv_id, turn, turn = 0 AS unestimated, len(list_filter(['role', 'turn', 'text'], lambda k: NOT list_contains(k2, k))) + len(list_filter(k2, lambda k: NOT list_contains(['role', 'turn', 'text'], k))) AS key_problems,
-text IS NULL OR trim(text) = '' AS has_empty FROM (SELECT *, CASE WHEN role = 'user' THEN ['role', 'text'] ELSE ['role', 'turn', 'text'] END AS k2 FROM conversations)""")
+ANSWERS = """WITH a AS (SELECT *, CASE WHEN role = 'user' THEN ['role', 'text'] ELSE ['role', 'text', 'turn'] END AS keys FROM conversations)"""
+
+
+@query(ANSWERS + """ SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN role = 'user' THEN 'root: missing ["turn"], unexpected []' END, CASE WHEN trim(coalesce(role, '')) = '' THEN 'role: empty' END, CASE WHEN trim(coalesce(text, '')) = '' THEN 'text: empty' END], lambda x: x IS NOT NULL), '; ') AS problems,
+CASE WHEN role <> 'user' AND turn = 0 THEN 'turn' ELSE '' END AS unestimated FROM a""")
 def template_validate(spark, sf_dir):
+    """Answers, of which the users' lack a field, against the template: the checks as columns."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     answer = F.when(F.col("role") == "user", F.to_json(F.struct("role", "text"))).otherwise(F.to_json(F.struct("role", "turn", "text")))
-    keys, wanted = F.json_object_keys("answer"), F.array(*map(F.lit, ANSWER))
-    loose = F.from_json("answer", templates.schema(ANSWER))
-    return turns.withColumn("answer", answer).withColumn("parsed", loose).select("conv_id", "turn", (F.col("turn") == 0).alias("unestimated"), (F.size(F.array_except(wanted, keys)) + F.size(F.array_except(keys, wanted))).cast("long").alias("key_problems"), (F.col("parsed.text").isNull() | (F.trim("parsed.text") == "")).alias("has_empty"))
+    return turns.select("conv_id", "turn", F.array_join(templates.answer_problems(answer, ANSWER), "; ").alias("problems"), F.array_join(templates.answer_unestimated(answer, ANSWER), "; ").alias("unestimated"))
 
 
 @query()
@@ -36,19 +40,26 @@ def html_text(spark, sf_dir):
 
 
 def board_pages(spark, sf_dir):
-    """Pages with JSON-LD, JSON and links, made of the documents: the test pages have no postings."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    posting = F.to_json(F.struct(F.lit("JobPosting").alias("@type"), F.concat(F.lit("Job "), F.col("doc_id")).alias("title"), F.concat(F.lit("/jobs/"), F.col("doc_id") + 1000).alias("url"), F.struct(F.col("source").alias("name")).alias("hiringOrganization"), F.substring("text", 1, 80).alias("description")))
-    flat = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("Job "), F.col("doc_id")).alias("job_title"), F.concat(F.lit("/jobs/"), F.col("doc_id") + 1000).alias("link"), F.col("source").alias("employer"))).alias("jobs")))
-    kind = F.col("doc_id") % 3
-    link = F.concat(F.lit("<nav><a href='/jobs/99999'>Not this one</a></nav><div><a href='/jobs/"), F.col("doc_id") + 1000, F.lit("#x'>Job number "), F.col("doc_id"), F.lit("</a></div>"))
-    body = F.when(kind == 0, F.concat(F.lit("<html><script type='application/ld+json'>"), posting, F.lit("</script></html>"))).when(kind == 1, flat).otherwise(link)
-    return docs.select("doc_id", F.concat(F.lit("https://www.board.example/list/"), F.col("doc_id")).alias("page_url"), body.alias("body"), F.lit("").alias("content_type"), F.lit(None).cast("string").alias("parser"))
-
-
-@query(r"""SELECT doc_id, CASE doc_id % 3 WHEN 2 THEN 'Job number ' ELSE 'Job ' END || doc_id AS title, 'https://www.board.example/jobs/' || (doc_id + 1000) AS url, CASE WHEN doc_id % 3 < 2 THEN source END AS company FROM documents""")
+    """Three pages of each document, with JSON-LD, JSON and links: the test pages have no postings."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text", "n_chars")
+    path = F.concat(F.lit("/jobs/"), F.col("doc_id") + 1000)
+    title = F.concat(F.lit("Job "), F.col("doc_id"))
+    address = F.struct(F.col("lang").alias("addressLocality"), F.struct(F.col("source").alias("name")).alias("addressCountry"))
+    pay = F.struct(F.lit("EUR").alias("currency"), F.struct(F.col("doc_id").alias("minValue"), F.col("n_chars").alias("maxValue"), F.lit("DAY").alias("unitText")).alias("value"))
+    posting = F.to_json(F.struct(F.lit("JobPosting").alias("@type"), title.alias("title"), path.alias("url"), F.struct(F.col("source").alias("name")).alias("hiringOrganization"), F.struct(address.alias("address")).alias("jobLocation"), pay.alias("baseSalary"), F.col("text").alias("description")))
+    flat = F.to_json(F.struct(F.array(F.struct(title.alias("job_title"), path.alias("link"), F.col("source").alias("employer"), F.array("lang").alias("city"), F.col("n_chars").alias("pay"), F.col("text").alias("content"))).alias("jobs")))
+    link = F.concat(F.lit("<nav><a href='/jobs/99999'>Not this one</a></nav><div><a href='"), path, F.lit("#x'>Job number "), F.col("doc_id"), F.lit("</a></div><p>"), tx.escape(F.coalesce("text", F.lit(""))))
+    page = F.concat(F.lit("<html><script type='application/ld+json'>"), F.replace(posting, F.lit("</"), F.lit("<\\/")), F.lit("</script></html>"))
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), body.alias("body")) for k, body in (("posting", page), ("interface", flat), ("links", link))]))
+    return docs.select("doc_id", kinds.alias("k")).select("doc_id", "k.kind", F.concat_ws("/", F.lit("https://www.board.example/list"), "k.kind", "doc_id").alias("page_url"), "k.body", F.lit("").alias("content_type"), F.lit(None).cast("string").alias("parser"))
+
+
+@query(r"""WITH d AS (SELECT *, nullif(trim(regexp_replace(text, '\s+', ' ', 'g')), '') AS t FROM documents), c AS (SELECT *, CASE WHEN length(t) > 600 THEN rtrim(left(t, 600)) || '…' ELSE t END AS described FROM d), k AS (SELECT unnest(['posting', 'interface', 'links']) AS kind)
+SELECT doc_id, kind, CASE kind WHEN 'links' THEN 'Job number ' ELSE 'Job ' END || doc_id AS title, 'https://www.board.example/jobs/' || (doc_id + 1000) AS url, CASE WHEN kind <> 'links' THEN source END AS company,
+CASE kind WHEN 'posting' THEN nullif(concat_ws(', ', lang, source), '') WHEN 'interface' THEN lang END AS location, CASE kind WHEN 'posting' THEN 'EUR ' || array_to_string(list_filter([CASE WHEN doc_id <> 0 THEN CAST(doc_id AS VARCHAR) END, CASE WHEN n_chars <> 0 THEN CAST(n_chars AS VARCHAR) END], lambda x: x IS NOT NULL), '-') || ' DAY' WHEN 'interface' THEN CAST(n_chars AS VARCHAR) END AS salary,
+CASE WHEN kind <> 'links' THEN described END AS description FROM c, k""")
 def jsonld_extract(spark, sf_dir):
-    return extraction.listings(board_pages(spark, sf_dir), "doc_id").select("doc_id", "title", "url", "company")
+    return extraction.listings(board_pages(spark, sf_dir), "doc_id", "kind").select("doc_id", "kind", "title", "url", "company", "location", "salary", "description")
 
 
 ESC = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
@@ -67,17 +78,13 @@ def chunk_text(spark, sf_dir):
 
 @query("SELECT user_id, min(event_id) AS event_id FROM events WHERE user_id IS NOT NULL GROUP BY user_id")
 def cycle_stream(spark, sf_dir):
-    """A stream of events, in micro-batches: each user's first event, kept as state between batches."""
-    import uuid
-
-    name = f"cycle_{uuid.uuid4().hex}"
-    events = table(spark, sf_dir, "events")
+    """A stream of events through cycles that keep each user's first event in a table of the shared folder."""
+    at = scratch_path(spark, "cycles")
+    events = table(spark, sf_dir, "events").select("user_id", "event_id")
     folder = f"{sf_dir}/events.parquet"
     source = spark.readStream.schema(events.schema).parquet(folder if _is_folder(spark, folder) else f"{sf_dir}/events.parque[t]")
-    firsts = source.where("user_id is not null").groupBy("user_id").agg(F.min("event_id").alias("event_id"))
-    q = firsts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    cycle.stream_cycles(source, lambda batch: cycle.remember_first(batch, "user_id", "event_id", f"{at}/first"), f"{at}/checkpoint").awaitTermination()
+    return spark.read.schema(events.schema).parquet(f"{at}/first")
 
 
 def _is_folder(spark, path: str) -> bool:

@@ -6,8 +6,9 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -23,3 +24,25 @@ def ship(spark: SparkSession) -> None:
     atexit.register(shutil.rmtree, at, ignore_errors=True)  # the driver serves the file until it ends
     shutil.copytree(here, f"{at}/src/{name}", ignore=shutil.ignore_patterns("__pycache__"))
     context.addPyFile(shutil.make_archive(f"{at}/{name}", "zip", f"{at}/src"))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, without its plan."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; in local sessions without one, a folder of this machine."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or "file://" + os.path.join(tempfile.gettempdir(), f"gleanframe-{os.getuid()}"))
+    return context.getCheckpointDir()

@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 REFUSED_HEADERS = frozenset(("authorization", "cookie"))
 
 
+def refused_headers(headers: Mapping[str, str]) -> list[str]:
+    """The headers that would sign in."""
+    return sorted(REFUSED_HEADERS.intersection(h.lower() for h in headers))
+
+
 @dataclass(frozen=True)
 class Site:
     """A search page: its URL has {query} and may have {page}; a parser is named if the page needs its own."""
@@ -23,7 +28,7 @@ class Site:
     headers: Mapping[str, str] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        refused = sorted(REFUSED_HEADERS.intersection(h.lower() for h in self.headers))
+        refused = refused_headers(self.headers)
         if refused:
             raise ValueError(f"only public pages are read; headers not allowed: {', '.join(refused)}")
 

@@ -5,11 +5,15 @@ from __future__ import annotations
 import json
 import logging
 import uuid
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LOG = logging.getLogger(__name__)
+#: The largest history that goes to all tasks: about 100 bytes for each id.
+BROADCAST_IDS = 100_000
 
 
 def newest(rows: DataFrame, size: int, order: str = "seq") -> DataFrame:
@@ -75,14 +79,39 @@ class History:
         top = held.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
         fresh = ids.where(F.col(key).isNotNull() & (F.col(key) != "")).groupBy(F.col(key).alias("job_id")).agg(F.min(order).alias("at")).join(held.select("job_id"), "job_id", "left_anti")
         # No more than the history's size is numbered in one task.
-        from pyspark.sql import Window
-
         last = newest(fresh, self.size, "at").withColumn("seq", F.row_number().over(Window.orderBy("at")) + F.lit(top)).select("job_id", F.col("seq").cast("long").alias("seq"))
         self._save(newest(held.unionByName(last), self.size))
 
+    def add_all(self, ids: Sequence[str]) -> None:
+        """``add`` for a list in its order."""
+        if ids:
+            self.add(self.spark.createDataFrame(list(zip(ids, range(len(ids)), strict=True)), self.SCHEMA))
+
+    def load_json(self, path: str) -> None:
+        """Takes the ids of a JSON file, a list or an object with ``ids``, oldest first: texts that aren't empty, each
+        at its first place, the newest ``size``. A missing file changes nothing; one that can't be read leaves it empty."""
+        try:
+            rows = self.spark.read.text(path, wholetext=True).collect()
+        except AnalysisException:
+            return
+        try:
+            data = json.loads("".join(r.value for r in rows))
+        except ValueError:
+            LOG.warning("%s can't be read; the history starts empty", path)
+            data = []
+        ids = data.get("ids") if isinstance(data, dict) else data
+        kept = list(dict.fromkeys(x for x in (ids if isinstance(ids, list) else []) if isinstance(x, str) and x))[-self.size :]
+        self.clear()
+        self.add_all(kept)
+
+    def json(self) -> str:
+        """The history as an object with ``size`` and ``ids``, oldest first."""
+        return json.dumps({"size": self.size, "ids": list(self)})
+
     def fresh(self, rows: DataFrame, key: str = "job_id") -> DataFrame:
-        """The rows whose id isn't held; rows without id all stay. The held ids are few by construction."""
-        return rows.join(F.broadcast(self.ids().select(F.col("job_id").alias("__sent"))), F.col(key) == F.col("__sent"), "left_anti")
+        """The rows whose id isn't held; rows without id all stay. Held ids are broadcast only up to BROADCAST_IDS of them."""
+        held = self.ids().select(F.col("job_id").alias("__sent"))
+        return rows.join(F.broadcast(held) if self.size <= BROADCAST_IDS else held, F.col(key) == F.col("__sent"), "left_anti")
 
     def resize(self, size: int) -> None:
         if size < 1:
@@ -93,6 +122,13 @@ class History:
     def clear(self) -> None:
         self._save(self.ids().limit(0))
 
+    def __iter__(self) -> Iterator[str]:
+        """Ids, oldest first; the history is small by its size."""
+        return (r.job_id for r in self.ids().orderBy("seq").toLocalIterator())
+
+    def __repr__(self) -> str:
+        return f"History({len(self)} of {self.size} at {self.path})"
+
     def __len__(self) -> int:
         return self.ids().count()
 

@@ -14,7 +14,8 @@ from gleanframe.operators import assess, collect, delivery, extraction, rules, t
 from gleanframe.operators.predicates import is_login_page, is_posting_url, looks_like_json, plausible_title
 from gleanframe.plans import cycle
 from gleanframe.sources import extract
-from gleanframe.sources.fetch import LoginWall, PagesDataSource, Reader
+from gleanframe.sources import defaults
+from gleanframe.sources.fetch import LoginWall, PagesDataSource, Reader, robots_rules
 from gleanframe.sources.requests import Site, as_site, request_table, sites_table, terms_table
 from gleanframe.streaming.history import History
 
@@ -75,8 +76,8 @@ def test_greedy_quota_both_ways(spark):
         limit = rng.randint(1, 4)
         df = spark.createDataFrame(rows, "ord int, bucket string, key int").repartition(3)
         want = greedy(rows, limit)
-        assert sorted(map(tuple, collect.greedy_quota(df, "bucket", "key", "ord", limit).collect())) == want
-        assert sorted(map(tuple, collect.greedy_quota_rounds(df, "bucket", "key", "ord", limit, lambda d: d.checkpoint()).select("ord", "bucket", "key").collect())) == want
+        assert sorted(map(tuple, collect.greedy_quota(df, "bucket", "key", "ord", limit).select("ord", "bucket", "key").collect())) == want
+        assert sorted(map(tuple, collect.greedy_quota_fold(df, "bucket", "key", "ord", limit).collect())) == want
     assert collect.greedy_quota(df, "bucket", "key", "ord", 0).count() == 0
 
 
@@ -233,8 +234,18 @@ def test_requests_and_reader(spark):
         Site("A", "x", headers={"Cookie": "1"})
     now, slept = [0.0], []
     pages = {"https://a/robots.txt": (200, "User-agent: *\nDisallow: /no"), "https://a/1": (200, "hi"), "https://a/2": (403, "")}
-    reader = Reader(lambda u, h: (u, pages[u][0], "t", pages[u][1]), clock=lambda: now[0], sleep=slept.append)
-    assert reader.allowed("https://a/1") and not reader.allowed("https://a/no/x") and reader.get("https://a/1") == ("hi", "t")
+    transport = lambda u, h: (u, pages[u][0], "t", pages[u][1])
+    reader = Reader(transport, clock=lambda: now[0], sleep=slept.append)
+    allowed = robots_rules(["https://a/1", "https://a/2"], transport)
+    assert list(allowed) == ["https://a"] and allowed["https://a"]("https://a/1") and not allowed["https://a"]("https://a/no/x") and reader.get("https://a/1") == ("hi", "t")
+    pages["https://b/robots.txt"] = (404, "User-agent: *\nDisallow: /")
+
+    def down(url, headers):
+        raise OSError(url)
+
+    assert robots_rules(["https://b/x"], transport)["https://b"]("https://b/x") and robots_rules(["https://c/x"], down)["https://c"]("https://c/x")
+    with pytest.raises(ValueError):
+        reader.get("https://a/1", {"Authorization": "x"})
     with pytest.raises(LoginWall):
         reader.get("https://a/2")
     assert slept == [1.0]
@@ -256,7 +267,7 @@ def test_two_cycles_send_once(spark, tmp_path):
     write = lambda name, df: df.checkpoint()
     run = lambda channel: cycle.run_cycle(found, history, {"match_score": {"min": 1}}, template, assess.offline, channel, "1", write)
     assert run(None)["passed"] == 3 and len(history) == 0
-    assert run(sent.append) == {"found": 3, "fresh": 3, "assessed": 3, "passed": 3, "sent": 3} and len(sent) == len(history) == 3
+    assert run(sent.append) == {"found": 3, "old": 0, "duplicates": 0, "fresh": 3, "assessed": 3, "passed": 3, "sent": 3} and len(sent) == len(history) == 3
     assert run(sent.append)["fresh"] == 0 and len(sent) == 3
     assert sent[0]["text"].startswith("<b>") and sent[0]["button"]["url"] == "https://a.example/jobs/11111"
 
@@ -281,3 +292,112 @@ def test_streams(spark, tmp_path):
     (tmp_path / ".env").write_text("# c\nA=file\nexport B='x y'\n")
     assert cycle.read_env(str(tmp_path / ".env"), env) == {"A": "shell", "B": "x y"}
     assert cycle.missing_settings(["A", "Z"], ["/none"], env) == ["Z is not set", "/none not found"]
+
+
+def test_history_reads_json_forms(spark, tmp_path):
+    h = History(spark, f"file://{tmp_path}/h", 3)
+    (tmp_path / "list.json").write_text('["a", "b", "a", "", 7, "c", "d"]')
+    (tmp_path / "object.json").write_text('{"size": 9, "ids": ["x", "y"]}')
+    (tmp_path / "bad.json").write_text("{")
+    h.load_json(f"file://{tmp_path}/list.json")
+    assert list(h) == ["b", "c", "d"] and "3 of 3" in repr(h)
+    h.load_json(f"file://{tmp_path}/none.json")
+    assert list(h) == ["b", "c", "d"]
+    h.load_json(f"file://{tmp_path}/object.json")
+    assert json.loads(h.json()) == {"size": 3, "ids": ["x", "y"]}
+    h.load_json(f"file://{tmp_path}/bad.json")
+    assert list(h) == []
+
+
+def test_channel_outcomes():
+    def answering(*answers):
+        left = list(answers)
+
+        def post(url, data):
+            x = left.pop(0)
+            if isinstance(x, Exception):
+                raise x
+            return x
+
+        return delivery.http_channel("https://chat.example/send", post)
+
+    slept = []
+    run = lambda *answers: delivery.send(answering(*answers), "1", "x", sleep=slept.append)
+    assert run((200, '{"ok": true}')) == delivery.SENT
+    assert run(ConnectionError("no route"), (200, "")) == delivery.SENT and slept == [1.0]
+    assert run((429, '{"parameters": {"retry_after": 7}}'), (200, "{}")) == delivery.SENT and slept[-1] == 7.0
+    assert run(TimeoutError()) == delivery.UNCERTAIN and run((502, "")) == delivery.UNCERTAIN
+    assert run((403, "blocked")) == delivery.FAILED and run((200, '{"ok": false}')) == delivery.FAILED
+    sent = []
+    entries = [({"title": "A", "url": "u"}, {"n": 1}), ({"title": "B"}, {"n": 2})]
+    assert delivery.send_all(sent.append, "1", entries, {"n": "Number"}, sleep=slept.append) == [delivery.SENT] * 2 and "Number" in sent[0]["text"]
+
+    def refuse(payload):
+        raise delivery.SendError("no")
+
+    assert delivery.send_all(refuse, "1", entries) == [delivery.FAILED] * 2
+    with pytest.raises(delivery.SendError):
+        delivery.send_all(refuse, "1", entries, skip_failures=False)
+
+
+def test_model_over_http(spark, tmp_path):
+    template = {"kind": "A | B", "n": "<int> never 0"}
+    calls = []
+
+    def post(url, headers, body):
+        calls.append((headers, json.loads(body)))
+        if len(calls) == 1:
+            return 429, '{"error": {"status": "RESOURCE_EXHAUSTED", "message": "Please retry in 2.5s."}}'
+        return 200, json.dumps({"text": json.dumps({"n": 3, "kind": "A"})})
+
+    model = assess.HttpAssessor("https://model.example", "a job", "key", b"%PDF-1", "Haifa", post)
+    slept = []
+    assert list(assess.assess_one(model, {"title": "T"}, template, sleep=slept.append).items()) == [("kind", "A"), ("n", 3)] and slept == [3.5]
+    headers, sent = calls[1]
+    assert headers["Authorization"] == "Bearer key" and "a job" in sent["prompt"] and "Haifa" in sent["prompt"] and sent["document"]["type"] == "application/pdf"
+    with pytest.raises(templates.ConfigError):
+        assess.assess_one(assess.HttpAssessor("https://m", "x", post=lambda *a: (403, "")), {}, template)
+    with pytest.raises(templates.ConfigError):
+        assess.HttpAssessor("", "x")
+    assert assess.stated_delay('"retryDelay": "12s"') == 12.0 and assess.stated_delay("retry after 300 ms") == 0.3 and assess.stated_delay("later") is None
+    (tmp_path / "cv.pdf").write_bytes(b"%PDF-1.7 x")
+    (tmp_path / "cv.txt").write_bytes(b"text")
+    assert assess.read_pdf(spark, f"file://{tmp_path}/cv.pdf") == b"%PDF-1.7 x"
+    for path, most in (("cv.txt", 100), ("cv.pdf", 5)):
+        with pytest.raises(templates.ConfigError):
+            assess.read_pdf(spark, f"file://{tmp_path}/{path}", most)
+
+
+def test_checks_as_columns_equal_plain_ones(spark):
+    template = {"name": "who", "n": "<int> never 0", "tags": ["a tag"]}
+    answers = [{"name": "x", "n": 1, "tags": []}, {"name": " ", "n": 0, "tags": "no"}, {"name": "x", "n": 0.0}, {"name": None, "n": 2, "tags": [], "more": 1}]
+    df = spark.createDataFrame([(i, json.dumps(a)) for i, a in enumerate(answers)], "i int, a string")
+    got = {r.i: (r.p, r.u) for r in df.select("i", templates.answer_problems(F.col("a"), template).alias("p"), templates.answer_unestimated(F.col("a"), template).alias("u")).collect()}
+    for i, a in enumerate(answers):
+        assert len(got[i][0]) == len(templates.problems(a, template)) and got[i][1] == templates.unestimated(a, template), a
+    nested = {"a": {"b": "<int> never 0", "c": [{"d": "x"}]}, "e": []}
+    good = {"e": [1], "a": {"c": [{"d": "q"}, {"d": "r"}], "b": 0}}
+    assert json.dumps(templates.in_order(good, nested)) == '{"a": {"b": 0, "c": [{"d": "q"}, {"d": "r"}]}, "e": [1]}'
+    assert templates.unestimated(good, nested) == ["a.b"] and not templates.problems(good, nested)
+    assert templates.problems({"a": {"b": 1, "c": [{"d": ""}, 3]}, "e": {}}, nested) == ["a.c[1]: not an object", "a.c[0].d: empty", "e: not an array"]
+
+
+def test_scan_stops_full_buckets(spark):
+    link = lambda n: f"<div><a href='/jobs/{n}'>Position number {n}</a></div>"
+    bodies = {f"https://a.example/q={t}&p={p}": "".join(link(10000 * p + 1000 * i + j) for j in range(3)) for p in (1, 2) for i, t in enumerate(("x", "y"))} | {"https://b.example/all": link(70000)}
+    sites = [Site("A", "https://a.example/q={query}&p={page}"), Site("B", "https://b.example/all")]
+    asked = []
+    write = lambda name, df: (asked.append(name), df.checkpoint())[1]
+    got = cycle.collect_sites(spark, sites, ["x", "y"], 4, 2, {"bodies": json.dumps(bodies)}, write).orderBy("position").collect()
+    assert [r.url for r in got] == ["https://a.example/jobs/10000", "https://b.example/jobs/70000", "https://a.example/jobs/10001", "https://a.example/jobs/10002", "https://a.example/jobs/11000"]
+    # The first site is full after two pages; the second gives its page once.
+    assert [n for n in asked if n.startswith("pages")] == ["pages-1-0", "pages-1-1", "pages-2-0"]
+    assert cycle.collect_sites(spark, sites, "x", 0).count() == 0
+    assert len(defaults.SITES) == 7 and len(defaults.TERMS) == 8 and {s.parser for s in defaults.SITES} <= set(extract.PARSERS)
+
+
+def test_checkpoint_sink_goes_on_only_when_told(spark):
+    df = spark.range(3)
+    assert cycle.checkpoint_sink("rows", df, lambda q: "True").count() == 3
+    with pytest.raises(SystemExit):
+        cycle.checkpoint_sink("rows", df, lambda q: "yes")

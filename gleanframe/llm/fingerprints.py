@@ -9,11 +9,13 @@ compared byte by byte, and buckets with different texts get a longer digest.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, shuffle_parts
 
+#: Stands for a null id.
+LEAST = -(1 << 63)
 WHITE = r"[\x{9}-\x{d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
@@ -48,25 +50,37 @@ def fingerprint(canon: Column, shared: Column) -> Column:
     return F.when(shared, F.concat(digest(canon), F.lit("-"), F.sha2(canon, 256))).otherwise(digest(canon))
 
 
+def spread_keys(spark: SparkSession, parts: int) -> list[int]:
+    """For each of ``parts`` partitions a number that Spark's hash deals to it, so ranges named by them never share a task."""
+    rows = spark.range(0, 40 * parts).groupBy(F.pmod(F.hash("id"), F.lit(parts)).alias("p")).agg(F.min("id").alias("id")).collect()
+    return [r.id for r in sorted(rows)]
+
+
 def add_next(docs: DataFrame, parts: int) -> DataFrame:
     """(doc_id, text) with ``next``: the text of the next document in descending doc_id; the first's after the last.
 
     Documents are dealt by ranges of doc_id, so a text moves once; only each range's first
     document is looked up by the range before it. Equal ids are ordered by their texts' hash,
-    then by text; a null id comes last.
+    then by text; a null id comes last. An id with the rows of several ranges is dealt to these by
+    the texts' hash, so only rows equal in id and text must share a range.
     """
-    bounds = [r for r in docs.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000)).first()[0] or []] if parts > 1 else []
-    held = F.lit(sorted(set(bounds))) if bounds else None
-    place = F.coalesce(F.size(F.filter(held, lambda b: b <= F.col("doc_id"))), F.lit(0)) if bounds else F.lit(0)
-    # A null id is under all bounds.
-    dealt = docs.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(place).cast("int")).withColumn("tie", F.xxhash64("text"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("tie"), F.col("text")]
-    top = dealt.groupBy("range").agg(F.max("doc_id").alias("top"))
+    held = docs.withColumn("k", F.coalesce("doc_id", F.lit(LEAST))).withColumn("tie", F.xxhash64("text"))
+    bounds = sorted(held.select(F.percentile_approx("k", [i / parts for i in range(1, parts)], 10_000)).first()[0] or []) if parts > 1 else []
+    keys = spread_keys(docs.sparkSession, parts)[: len(bounds) + 1] or [0]
+    below = lambda c: F.size(F.filter(F.lit(bounds), c)) if bounds else F.lit(0)
+    place = below(lambda b: b <= F.col("k"))
+    if len(set(bounds)) < len(bounds):
+        ranges = place - below(lambda b: b < F.col("k"))
+        share = (F.col("tie").cast("double") + 2.0**63) / 2.0**64
+        place = place - F.when(ranges > 1, F.least(F.floor(share * ranges), ranges - 1)).otherwise(F.lit(0)).cast("int")
+    dealt = held.withColumn("place", place).withColumn("range", F.element_at(F.lit(keys), F.col("place") + 1).cast("long"))
+    order = [F.col("k").desc(), F.col("tie"), F.col("text")]
+    top = dealt.groupBy("range").agg(F.max("k").alias("top"))
     # One row for each range, and there are as many ranges as shuffle partitions.
-    first = dealt.join(F.broadcast(top), "range").where("doc_id <=> top").groupBy("range").agg(F.min(F.struct("tie", "text"))["text"].alias("first"))
-    around = Window.orderBy(F.col("range").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    after = first.withColumn("all", F.collect_list("range").over(around)).withColumn("after", F.coalesce(F.get(F.filter("all", lambda r: r < F.col("range")), 0), F.get("all", 0)))
-    follow = after.select("range", "after").join(first.select(F.col("range").alias("after"), "first"), "after").select("range", "first")
+    first = dealt.join(F.broadcast(top), "range").where("k = top").groupBy("range", "place").agg(F.min(F.struct("tie", "text"))["text"].alias("first"))
+    around = Window.orderBy(F.col("place").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = first.withColumn("all", F.collect_list("place").over(around)).withColumn("after", F.coalesce(F.get(F.filter("all", lambda r: r < F.col("place")), 0), F.get("all", 0)))
+    follow = after.select("range", "after").join(first.select(F.col("place").alias("after"), "first"), "after").select("range", "first")
     led = dealt.withColumn("next", F.lead("text").over(Window.partitionBy("range").orderBy(*order)))
     return led.join(F.broadcast(follow), "range").select("doc_id", "text", F.coalesce("next", "first").alias("next"))
 
@@ -74,7 +88,8 @@ def add_next(docs: DataFrame, parts: int) -> DataFrame:
 def fingerprint_report(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited text (its last third replaced by the next text's start).
 
-    Null text counts as empty; an empty table gives no rows; rows of equal doc_id all stay.
+    Null text counts as empty; an empty table gives no rows; rows of equal doc_id all stay. Texts of
+    any length are taken whole; other columns aren't read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "fingerprints")

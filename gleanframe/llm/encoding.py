@@ -48,10 +48,11 @@ class Kept(dict):
             ids = self.made(piece)
             if len(piece) > LONGEST_PIECE:
                 return ids
-        self.bytes += ENTRY_BYTES + 2 * len(piece) + len(ids)
+        cost = ENTRY_BYTES + 2 * len(piece) + len(ids)
+        self.bytes += cost
         if self.bytes > self.limit:
             self.old = {}  # let go before the younger one is copied
-            self.old, self.bytes = dict(self), 0
+            self.old, self.bytes = dict(self), cost
             self.clear()
         self[piece] = ids
         return ids

@@ -4,7 +4,9 @@ Format (version 1). A file set is a folder of Parquet part files in which each r
 written by Spark's committer, so lost executors leave no halves behind and any store that Spark
 reaches can hold it. A shard holds some documents in ascending id order:
 
-``shard_first``  the id of its first document; shards of a set sort by (part, shard)
+``shard_first``  the id of its first document, ``shard_last`` that of its last; null ids are in neither;
+                 shards of a set sort by (part, shard), and row groups are small, so a reader
+                 of one document skips the others' payloads by these two columns
 ``dict_hash``    xxh64 of the dictionary (in the set's ``dictionary`` table) its frames need
 ``payload``      one zstandard frame after another, one for each document
 ``offsets``      where each document's frame starts in ``payload``, and at last its length
@@ -26,16 +28,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, running_start, shuffle_parts
+from .common import Scratch, bound_batches, running_start, shuffle_parts
 from .encoding import encoder
 
-SHARDS = "part int, shard int, shard_first long, dict_hash long, width int, payload binary, offsets array<long>, doc_ids array<long>, n_tokens array<long>, total long"
+SHARDS = "part int, shard int, shard_first long, shard_last long, dict_hash long, width int, payload binary, offsets array<long>, doc_ids array<long>, n_tokens array<long>, total long"
 SHARD_BYTES = 4 << 20
-SAMPLE_DOCUMENTS, DICTIONARY_BYTES = 500, 64 << 10
+SAMPLE_DOCUMENTS, SAMPLE_TEXT_BYTES, DICTIONARY_BYTES = 500, 128 << 10, 64 << 10
+ROW_GROUP_BYTES = 8 << 20
 
 
 def as_ids(path: str, text: str | None, end: int, width: int, kind: str = "bytes") -> np.ndarray:
     ids = np.frombuffer(encoder(path, kind).encode(text or ""), dtype="<u4")
+    if width == 2 and max(end, int(ids.max(initial=0))) > 0xFFFF:
+        raise ValueError("an id needs more than 16 bits; write with width 4")
     return np.append(ids, np.uint32(end)).astype("<u2" if width == 2 else "<u4")
 
 
@@ -55,13 +60,14 @@ def dictionary_hash(dictionary: bytes) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(dictionary)).astype(np.int64))
 
 
-def sample_dictionary(docs: DataFrame, tokenizer: str, end: int, width: int, documents: int = SAMPLE_DOCUMENTS) -> bytes:
-    """Trains on the id arrays of ``documents`` whole documents: those whose ids hash lowest."""
-    chosen = [r[0] for r in docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents).collect()]
+def sample_dictionary(docs: DataFrame, tokenizer: str, end: int, width: int, documents: int = SAMPLE_DOCUMENTS, longest: int = SAMPLE_TEXT_BYTES) -> bytes:
+    """Trains on the id arrays of at most ``documents`` whole documents of at most ``longest`` bytes: those whose ids hash lowest, one text an id."""
+    known = docs.where(F.col("doc_id").isNotNull() & (F.octet_length(F.coalesce("text", F.lit(""))) <= longest))
+    chosen = sorted({r[0] for r in known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents).collect()})
     if not chosen:
         return b""
-    rows = docs.where(F.col("doc_id").isin(chosen)).select("doc_id", "text")
-    return train_dictionary([as_ids(tokenizer, t, end, width).tobytes() for _, t in sorted(rows.take(2 * documents), key=lambda r: r[0])])
+    rows = known.where(F.col("doc_id").isin(chosen)).groupBy("doc_id").agg(F.min("text").alias("text")).collect()
+    return train_dictionary([as_ids(tokenizer, r.text, end, width).tobytes() for r in sorted(rows, key=lambda r: r.doc_id)])
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 0, width: int = 2) -> bytes:
@@ -83,8 +89,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 0, width
         frames, at, doc_ids, counts = [], [0], [], []
 
         def row() -> pa.RecordBatch:
-            one = [part, no, next((x for x in doc_ids if x is not None), None), known, width, b"".join(frames), at, doc_ids, counts, sum(counts)]
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64()]
+            one = [part, no, next((x for x in doc_ids if x is not None), None), doc_ids[-1], known, width, b"".join(frames), at, doc_ids, counts, sum(counts)]
+            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(one, types, strict=True)], [c.split()[0] for c in SHARDS.split(", ")])
 
         for batch in batches:
@@ -101,8 +107,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 0, width
         if frames:
             yield row()
 
-    ordered = docs.repartitionByRange(shuffle_parts(spark), "doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(shards, SHARDS).write.option("compression", "none").parquet(f"{path}/shards")
+    bound_batches(spark)
+    # Rows of one id, or of none, may be many: their texts' hash parts them.
+    ordered = docs.repartitionByRange(shuffle_parts(spark), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id")
+    ordered.mapInArrow(shards, SHARDS).write.option("compression", "none").option("parquet.block.size", ROW_GROUP_BYTES).parquet(f"{path}/shards")
     spark.createDataFrame([(known, bytearray(dictionary))], "dict_hash long, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
     return dictionary
 
@@ -153,10 +161,10 @@ def _frames(batches: Iterator[pa.RecordBatch], dictionary: bytes, known: int):
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[int]:
-    """The ids of one document: only its shard's index and its own frame are decompressed."""
+    """The ids of one document: payloads of shards that can't hold it aren't read, and only its own frame is decompressed."""
     import zstandard
 
-    rows = spark.read.schema(SHARDS).parquet(f"{path}/shards").where(F.array_contains("doc_ids", doc_id))
+    rows = spark.read.schema(SHARDS).parquet(f"{path}/shards").where(F.col("shard_first") <= doc_id).where(F.col("shard_last") >= doc_id).where(F.array_contains("doc_ids", doc_id))
     frame = rows.withColumn("p", F.array_position("doc_ids", doc_id).cast("int")).selectExpr("width", "substring(payload, cast(offsets[p - 1] as int) + 1, cast(offsets[p] - offsets[p - 1] as int)) as frame")
     one = frame.take(1)[0]
     dictionary = read_dictionary(spark, path)

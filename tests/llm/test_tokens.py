@@ -7,10 +7,11 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from gleanframe.llm import encoding
 from gleanframe.llm.common import Scratch
 from gleanframe.llm.encoding import PieceEncoder
 from gleanframe.llm.packing import hilbert_key, pack
-from gleanframe.llm.token_files import read_document, read_tokens, token_digest, write_tokens
+from gleanframe.llm.token_files import as_ids, read_document, read_tokens, token_digest, write_tokens
 
 from .odd import odd_documents
 
@@ -52,6 +53,8 @@ def test_token_files_round_trip(spark):
     assert max(r.start + r.n_tokens for r in rows) == at
     path = Scratch(spark, "t").path("set")
     write_tokens(docs, path, BYTES)
+    plan = spark.read.parquet(f"{path}/shards").where("shard_first <= 30 and shard_last >= 30").select("offsets")._jdf.queryExecution().executedPlan().toString()
+    assert "shard_first,30)" in plan.split("PushedFilters")[1] and "GreaterThanOrEqu" in plan.split("PushedFilters")[1]
     assert read_document(spark, path, 30) == want[30][0]
     assert {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in read_tokens(spark, path).where("doc_id <> 9 and doc_id is not null").collect()} == {k: v[0] for k, v in want.items() if k not in (9, None)}
     assert token_digest(docs.limit(0), BYTES).count() == 0
@@ -74,3 +77,21 @@ def test_packing_is_gapless(spark):
     copies = [(r.sequence_id, r.offset) for r in rows if r.doc_id == 9]
     assert len(copies) == 2
     assert pack(docs.limit(0), WORDS).count() == 0
+
+
+def test_kept_pieces_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(encoding, "CACHE_BYTES", 4000)
+    monkeypatch.setattr(encoding, "WORD_BYTES", 4000)
+    theirs = Tokenizer.from_file(BYTES)
+    mine = PieceEncoder(BYTES, "bytes")
+    for i in range(60):
+        text = " ".join(f"word{i * 7 + j} again{j}," for j in range(20)) + " " + "x" * 200
+        assert np.frombuffer(mine.encode(text), "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids
+        for kept in (mine, mine.after):
+            assert sum(encoding.ENTRY_BYTES + 2 * len(k) + len(v) for k, v in kept.items()) <= 4000 and all(len(k) <= encoding.LONGEST_PIECE for k in kept)
+
+
+def test_ids_that_need_more_bits_are_refused():
+    with pytest.raises(ValueError):
+        as_ids(BYTES, "a", 70_000, 2)
+    assert as_ids(BYTES, "a", 70_000, 4)[-1] == 70_000

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanframe.session import checkpointed
+from gleanframe.session import stored
 
 
 def first_wins(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
@@ -56,23 +56,23 @@ def greedy_quota(df: DataFrame, bucket: str, key: str, order: str, limit: int, s
 
     A row turned away for lack of room doesn't use its key up, so a later bucket may take it.
     By deferred acceptance: each key proposes its earliest row still alive; each bucket holds its
-    ``limit`` earliest proposals and turns the others away for good; until none is turned away. Only
-    each bucket's edge is looked for, so no bucket is ranked in one task. ``step`` writes a round's
-    rows to cut the plan; by default a checkpoint does.
+    ``limit`` earliest proposals, and what lies behind the last of them dies, as that edge only ever
+    moves forward; until no proposal dies. Only edges are looked for, so no bucket is ranked in one
+    task. ``step`` writes a round's rows; by default to a table in the shared folder.
     """
     if limit <= 0:
         return df.limit(0)
-    step = step or checkpointed
-    live = step(df.withColumn("__n", F.row_number().over(Window.partitionBy(bucket, key).orderBy(order))).where("__n = 1").drop("__n"))
+    step = step or stored
+    live = df.withColumn("__n", F.row_number().over(Window.partitionBy(bucket, key).orderBy(order))).where("__n = 1").drop("__n")
     while True:
-        proposed = live.withColumn("__p", F.row_number().over(Window.partitionBy(key).orderBy(order)) == 1)
+        proposed = step(live.withColumn("__p", F.row_number().over(Window.partitionBy(key).orderBy(order)) == 1))
         held = proposed.where("__p").withColumn("__r", F.row_number().over(Window.partitionBy(bucket).orderBy(order))).where(F.col("__r") <= limit)
-        edges = held.groupBy(F.col(bucket).alias("__bucket")).agg(F.max(order).alias("__edge"), F.count("*").alias("__held")).where(F.col("__held") == limit).drop("__held")
-        turned = F.col("__p") & F.coalesce(F.col(order) > F.col("__edge"), F.lit(False))
-        judged = step(proposed.join(edges, F.col(bucket).eqNullSafe(F.col("__bucket")), "left").withColumn("__turned", turned).drop("__bucket", "__edge"))
-        if judged.where("__turned").isEmpty():
-            return judged.where("__p").drop("__p", "__turned")
-        live = judged.where("not __turned").drop("__p", "__turned")
+        edges = step(held.groupBy(F.col(bucket).alias("__bucket")).agg(F.max(order).alias("__edge"), F.count("*").alias("__held")).where(F.col("__held") == limit).drop("__held"))
+        dies = F.coalesce(F.col(order) > F.col("__edge"), F.lit(False))
+        judged = proposed.join(edges, F.col(bucket).eqNullSafe(F.col("__bucket")), "left")
+        if judged.where(dies & F.col("__p")).isEmpty():
+            return proposed.where("__p").drop("__p")
+        live = judged.where(~dies).drop("__p", "__bucket", "__edge")
 
 
 def greedy_quota_fold(df: DataFrame, bucket: str, key: str, order: str, limit: int) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from gleanframe.functions.identity import identity_parts, listing_id
 from gleanframe.operators import assess as model
 from gleanframe.operators import collect, delivery, extraction, rules, templates
-from gleanframe.session import checkpointed
+from gleanframe.session import stored
 from gleanframe.sources.extract import FIELDS
 from gleanframe.sources.fetch import PagesDataSource
 from gleanframe.sources.requests import Site, as_site, request_table, sites_table, terms_table
@@ -74,7 +74,7 @@ def scan(requests: DataFrame, pages: DataFrame, limit: int, total_sites: int) ->
     return dealt(collect.greedy_quota(listed(requests, pages), "bucket", "key", "ord", limit), limit, total_sites)
 
 
-def run_cycle(listings: DataFrame, history: History, ruleset: Mapping[str, Mapping[str, Any]], template: dict[str, Any], assessor: model.Assessor, channel: delivery.Channel | None, chat: str = "", write: Callable[[str, DataFrame], DataFrame] = lambda name, df: checkpointed(df), per_minute: float = 0, sleep: Callable[[float], None] = lambda s: None) -> dict[str, int]:
+def run_cycle(listings: DataFrame, history: History, ruleset: Mapping[str, Mapping[str, Any]], template: dict[str, Any], assessor: model.Assessor, channel: delivery.Channel | None, chat: str = "", write: Callable[[str, DataFrame], DataFrame] = lambda name, df: stored(df), per_minute: float = 0, sleep: Callable[[float], None] = lambda s: None) -> dict[str, int]:
     """Assesses, filters and sends what is new; returns counts. Without ``channel`` it is a dry run.
 
     ``write`` writes a table and gives it back: answers of the model and outcomes of sending must
@@ -112,7 +112,7 @@ def run_cycle(listings: DataFrame, history: History, ruleset: Mapping[str, Mappi
     return counts
 
 
-def collect_sites(spark: SparkSession, sites: Sequence[Site | str], terms: Sequence[str] | str, limit: int, max_pages: int = 1, options: Mapping[str, str] | None = None, write: Callable[[str, DataFrame], DataFrame] = lambda name, df: checkpointed(df)) -> DataFrame:
+def collect_sites(spark: SparkSession, sites: Sequence[Site | str], terms: Sequence[str] | str, limit: int, max_pages: int = 1, options: Mapping[str, str] | None = None, write: Callable[[str, DataFrame], DataFrame] = lambda name, df: stored(df)) -> DataFrame:
     """From sites and terms to listings: ``scan`` over pages fetched as they are needed.
 
     Pages and terms go one after another, the sites of each side by side; a site's URL that has
@@ -172,7 +172,7 @@ def first_seen(spark: SparkSession, path: str, schema: str, key: str, at: str, c
 
 def checkpoint_sink(name: str, df: DataFrame, ask: Callable[[str], str] = input, rows: int = 20) -> DataFrame:
     """For ``write`` of an interactive cycle: writes a stage's rows, shows some of them, and goes on only on the answer True."""
-    df = checkpointed(df)
+    df = stored(df)
     print(f"{name}: {df.count()} rows")
     df.show(rows, truncate=80, vertical=True)
     try:
@@ -190,7 +190,7 @@ def remember_first(batch: DataFrame, key: str, order: str, path: str) -> None:
     fresh = collect.first_wins(batch.where(F.col(key).isNotNull()), key, [order])
     if _exists(spark, path):
         fresh = fresh.join(spark.read.schema(batch.schema).parquet(path).select(key), key, "left_anti").select(batch.columns)
-    checkpointed(fresh).write.mode("append").parquet(path)
+    stored(fresh).write.mode("append").parquet(path)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -26,10 +26,11 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(shutil.make_archive(f"{at}/{name}", "zip", f"{at}/src"))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder, without its plan."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, without its plan, and not lost with an executor."""
+    path = scratch_path(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

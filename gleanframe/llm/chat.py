@@ -69,6 +69,6 @@ def collapse(conversations: DataFrame) -> DataFrame:
     inner = rolled.where("place < n_turns and conv_id is not null").select(F.col("place").alias("n"), "a", "b").distinct()
     firsts = scratch.table("firsts", last.groupBy("n", "a", "b").agg(F.min("conv_id").alias("conv_id")))
     kept = scratch.table("kept", firsts.join(inner, ["n", "a", "b"], "left_anti").select("conv_id"))
-    scratch.drop("numbered", "crossing", "placed")
+    scratch.keep_only("rolled", "kept")
     chosen = rolled.join(kept.select(F.col("conv_id").alias("c")), F.col("conv_id").eqNullSafe(F.col("c")), "left_semi")
     return chosen.select("conv_id", "place", "n_turns", "role", "text", render(F.col("role"), F.col("text")).alias("rendered"))

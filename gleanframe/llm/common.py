@@ -57,13 +57,13 @@ def text_slices(texts: Sequence[str | None], limit: int) -> Iterator[tuple[int,
 class Scratch:
     """Tables written to the shared folder, so that later steps never recompute earlier ones.
 
-    A table in the shared folder survives the loss of any executor. ``drop`` removes what no
+    A table in the shared folder survives the loss of any executor. ``keep_only`` removes what no
     later step reads; what the returned frame still reads has to stay.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         bound_batches(spark)
-        self.spark = spark
+        self.spark, self.names = spark, set()
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
@@ -71,12 +71,17 @@ class Scratch:
 
     def table(self, name: str, df: DataFrame, codec: str = "zstd") -> DataFrame:
         df.write.mode("overwrite").option("compression", codec).parquet(self.path(name))
+        self.names.add(name)
         return self.read(name, df)
 
     def read(self, name: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(self.path(name))
 
+    def keep_only(self, *names: str) -> None:
+        self.drop(*(self.names - {*names}))
+
     def drop(self, *names: str) -> None:
+        self.names -= {*names}
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:

@@ -210,7 +210,9 @@ def leaks(scratch: Scratch, docs: DataFrame, benchmark: DataFrame, k: int, thres
     rows = scanned(scratch, docs, seeds, sizes)
     runs = rows.where(F.size("runs") > 0).select("row_id", F.explode("runs").alias("run")).select("row_id", "run.*")
     pairs = runs.join(seeds, "seed").groupBy("row_id", "item").agg(F.sort_array(F.collect_list(F.struct("place", "words"))).alias("runs"))
-    return rows, scratch.table("leaks", tiled(pairs.join(items.select("item", "item_id", "words"), "item").select("row_id", "item_id", "words", "runs"), k, threshold))
+    found = scratch.table("leaks", tiled(pairs.join(items.select("item", "item_id", "words"), "item").select("row_id", "item_id", "words", "runs"), k, threshold))
+    scratch.keep_only("scanned", "leaks")
+    return rows, found
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.5) -> DataFrame:

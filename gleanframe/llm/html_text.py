@@ -413,6 +413,7 @@ def extract(pages: DataFrame) -> DataFrame:
     # Written once, as the deduction reads it several times; what one kind of page has alone can't be in a template.
     tokens = scratch.table("tokens", tokens_of(pages).where((F.col("token") == 0) | (F.col("kinds") >= 2)))
     deduced = scratch.table("templates", templates(tokens))
+    scratch.keep_only("templates")
     rows = pages.select("page_id", "url", "html", host().alias("host"))
     size = deduced.agg(F.sum(8 * (F.size("frame") + F.size("texts") + F.size("menus")) + 64)).first()[0] or 0
     # Templates go to all tasks only while they are small; else both sides are dealt by host, and Spark splits large hosts.

@@ -291,7 +291,7 @@ def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     named = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     final = scratch.table("named", named.join(least, "comp").select("h1", "h2", "n", "comp", "component_id"))
-    scratch.drop("members", "sets", "classes", *(f"{x}-{i}" for i in range(BEST_ROUNDS + 2) for x in ("pairs", "links")))
+    scratch.keep_only("sketches", "named")
     out = sketch.select("doc_id", "t", "n", "h1", "h2").join(final, ["h1", "h2", "n"], "left")
     return out.select("doc_id", "t", "n", "comp", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 

@@ -233,6 +233,7 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text", count: str | Non
     mentions = scratch.table("mentions", mentions_of(values.select("value").distinct()))
     given = assign(scratch, scratch.table("entities", entities_of(mentions)), key)
     new = scratch.table("new", replaced_mentions(mentions, given))
+    scratch.keep_only("marked", "new")
     mapped = values.join(new, "value").groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("at", "surrogate", "kind"))).alias("new"), F.array_distinct(F.flatten(F.collect_list("bare"))).alias("bare"))
     longest = F.array_sort("bare", lambda a, b: F.char_length(b["old"]) - F.char_length(a["old"]))
     follow = lambda piece: F.aggregate("bare", piece, lambda t, x: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}\p{N}@.])"), x["old"], F.lit(r"(?![\p{L}\p{N}@])")), x["new"]))

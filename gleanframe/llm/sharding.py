@@ -82,4 +82,5 @@ def balanced_shards(docs: DataFrame, shards: int = 40, rounds: int = 4, links: D
     n = max(1, nodes.count())
     placed = nodes.join(at.withColumnRenamed("shard", "near"), "node").withColumn("one", F.lit(1).cast("long"))
     placed = running_start(scratch, "placed", placed, ["near", "g1", "g2", "node"], "one", "at")
+    scratch.keep_only("placed")
     return placed.withColumn("shard", F.expr(f"cast(at * {shards}L div {n}L as int)")).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.expr(f"at - (shard * {n}L + {shards - 1}L) div {shards}L").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -3,6 +3,7 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from gleanframe.llm.minhash import near_duplicates
 from gleanframe.llm.pii import PATTERN, assign, pseudonymize
@@ -117,3 +118,22 @@ def test_stages_compose_as_brute_force(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == set(left)
     assert sum(r.length for r in out) == sum({r.doc_id: r.doc_tokens for r in out}.values())
+
+
+def test_pipeline_takes_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = odd_documents(spark).withColumn("row_id", F.lit(1)).withColumn("t", F.lit("clash"))
+    bench = spark.createDataFrame([(1, "word1 word2 word3 word4 word5 word6"), (None, None)], "item_id long, text string")
+    for name, rows in (("odd", docs), ("empty", docs.limit(0))):
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        bench.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    odd = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        odd = Scratch(spark, "t").table("x", stage(spark, odd, f"{tmp_path}/odd"))
+        assert odd.columns == docs.columns
+    kept = odd.collect()
+    # Of the copies under 9, 12, 15 and 9 again one is left; long texts hold the benchmark's words.
+    assert sum("two three four five" in re.sub(r"\s+", " ", r.text.lower()) for r in kept) == 1 and not any("word1 " in r.text for r in kept)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/odd").count() >= len(kept)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0

@@ -48,9 +48,15 @@ STAGES = [("language", language), ("near-duplicates", near_duplicates), ("decont
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each one's rows are written to the shared folder and read again."""
+    """All stages over ``documents``; each one's rows are written to the shared folder and read again.
+
+    Null ids and repeated rows go through every stage by the rules of its operator; rows of one group
+    of near-duplicates come down to one, repeated rows too. Columns besides those that the stages
+    read, whatever their names, are carried up to packing. An empty table gives no rows.
+    """
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES[:-1]):
         docs = scratch.table(str(i), stage(spark, docs, sf_dir))
+        scratch.keep_only(str(i))
     return STAGES[-1][1](spark, docs, sf_dir)

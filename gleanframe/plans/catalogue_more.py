@@ -28,13 +28,16 @@ def template_validate(spark, sf_dir):
     return turns.select("conv_id", "turn", F.array_join(templates.answer_problems(answer, ANSWER), "; ").alias("problems"), F.array_join(templates.answer_unestimated(answer, ANSWER), "; ").alias("unestimated"))
 
 
-@query()
+@query(r"""WITH a AS (SELECT page_id, regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1) AS root, unnest(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')) AS link, generate_subscripts(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>'), 1) - 1 AS pos FROM pages)
+SELECT page_id, CAST(pos AS INTEGER) AS pos, root || string_split(replace(regexp_extract(link, 'href="([^"]*)"', 1), '&amp;', '&'), '#')[1] AS url, trim(regexp_replace(replace(regexp_extract(link, '>([^<]*)<', 1), '&amp;', '&'), '\s+', ' ', 'g')) AS title, true AS in_chrome FROM a""")
 def link_extract(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("body"), F.col("url").alias("page_url"))
     return extraction.anchors(pages, "page_id")
 
 
-@query()
+@query(r"""WITH t AS (SELECT page_id, regexp_replace(html, '<[^>]*>', ' ', 'g') AS t FROM pages),
+d AS (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM t)
+SELECT page_id, CASE WHEN length(t) > 600 THEN rtrim(left(t, 600)) || '…' ELSE nullif(t, '') END AS text FROM d""")
 def html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tx.plain(F.col("html")).alias("text"))
 
@@ -71,7 +74,18 @@ def render_lines(spark, sf_dir):
     return rows.select("c_custkey", delivery.render_columns(rows.schema, {"c_name": "Customer"}).alias("rendered"))
 
 
-@query()
+@query(r"""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM documents WHERE length(text) > 4000),
+c AS (SELECT *, greatest(length(line) - 1, 0) // 4000 AS cuts FROM l),
+p AS (SELECT doc_id, ln, cuts, unnest(range(0, cuts + 1)) AS k, line FROM c),
+o AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ln, k) AS i, k < cuts AS cut, substr(line, k * 4000 + 1, 4000) AS piece FROM p),
+f AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS place, CAST(0 AS BIGINT) AS pack, CAST(0 AS BIGINT) AS size, true AS blank, '' AS piece FROM o
+  UNION ALL SELECT o.doc_id, o.i, f.pack + CASE WHEN o.cut OR (NOT f.blank AND f.size + length(o.piece) + 1 > 4000) THEN 1 ELSE 0 END,
+    f.pack + CASE WHEN o.cut THEN 2 WHEN NOT f.blank AND f.size + length(o.piece) + 1 > 4000 THEN 1 ELSE 0 END,
+    CASE WHEN o.cut THEN 0 WHEN NOT f.blank AND f.size + length(o.piece) + 1 > 4000 THEN length(o.piece) + 1 ELSE f.size + length(o.piece) + 1 END, o.cut, o.piece
+  FROM f JOIN o ON o.doc_id = f.doc_id AND o.i = f.i + 1),
+g AS (SELECT doc_id, place, string_agg(piece, chr(10) ORDER BY i) AS chunk FROM f WHERE i > 0 GROUP BY doc_id, place)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS INTEGER) AS chunk_no, chunk FROM g WHERE regexp_matches(chunk, '\S')
+UNION ALL SELECT doc_id, 0, text FROM documents WHERE length(text) <= 4000""")
 def chunk_text(spark, sf_dir):
     return delivery.chunked(table(spark, sf_dir, "documents"), "text", "doc_id")
 
@@ -92,9 +106,11 @@ def _is_folder(spark, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
 
 
-@query("""SELECT item_id, json AS assessment_schema FROM (SELECT item_id, '{"role":"string","text":"string","turn":"bigint"}' AS json FROM benchmark)""")
+@query("""SELECT r_name AS field, CASE r_regionkey % 5 WHEN 0 THEN 'bigint' WHEN 3 THEN 'array<string>' WHEN 4 THEN 'boolean' ELSE 'string' END AS type, CASE WHEN r_regionkey % 5 = 1 THEN lower(r_name) || '|other' ELSE '' END AS options, r_regionkey % 5 = 0 AS must_estimate FROM region""")
 def template_schema(spark, sf_dir):
-    kinds = {f.name: f.dataType.simpleString() for f in templates.schema(ANSWER)}
-    return table(spark, sf_dir, "benchmark").select("item_id", F.lit(json.dumps(dict(sorted(kinds.items())), separators=(",", ":"))).alias("assessment_schema"))
-
-
+    """The schema of a template whose fields are the regions' names: five rows at every scale."""
+    kinds = ("<int> of {0}, never 0", "{0} | other", "what is said of {0}", ["one of {0}"], True)
+    regions = table(spark, sf_dir, "region").orderBy("r_regionkey").select("r_name", "r_regionkey").collect()
+    template = {r.r_name: json.loads(json.dumps(kinds[r.r_regionkey % 5]).format(r.r_name.lower())) for r in regions}
+    fields = templates.schema(template).fields
+    return spark.createDataFrame([(f.name, f.dataType.simpleString(), "|".join(f.metadata.get("enum", [])), bool(f.metadata.get("must_estimate"))) for f in fields], "field string, type string, options string, must_estimate boolean")

@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, text_slices
+from .common import bound_batches, slices, text_slices
 from .shingles import U, mix
 
 FEATURE_BITS, GRAMS = 18, (2, 3, 4)
 #: Documents of each language, and bytes of their texts, at most, that the model is fitted on; and its rounds.
-FIT_DOCUMENTS, FIT_BYTES, FIT_ROUNDS, SEQUENCE, PIECE_WORDS = 150, 2 << 20, 30, 128, 25
+FIT_DOCUMENTS, FIT_BYTES, FIT_ROUNDS, SEQUENCE, PIECE_WORDS = 150, 1 << 20, 30, 128, 25
 #: Bytes of text that are labelled at once, and words in a block of the chain.
 CHUNK, BLOCK = 384 << 10, 128
 IS_WORD = np.array([chr(b).isascii() and chr(b).isalpha() or b >= 128 for b in range(256)])
@@ -89,10 +89,29 @@ class Model:
     transitions: np.ndarray  # languages x languages, log
 
     def emissions(self, features: np.ndarray, at: np.ndarray) -> np.ndarray:
-        if not len(at):
-            return np.zeros((0, len(self.languages)), dtype=np.float32)
-        count = np.diff(np.append(at, len(features))).astype(np.float32)
-        return np.stack([np.add.reduceat(self.weights[:, i][features], at) for i in range(len(self.languages))], axis=1) / np.sqrt(count)[:, None]
+        out = np.zeros((len(at), len(self.languages)), dtype=np.float32)
+        for words, mine, begin, count in word_blocks(features, at):
+            for i in range(len(self.languages)):
+                out[words, i] = np.add.reduceat(self.weights[:, i][mine], begin) / np.sqrt(count)
+        return out
+
+
+def word_blocks(features: np.ndarray, at: np.ndarray, step: int = 1 << 15) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """Words in blocks, so that what is computed for each feature stays small: the words, their features, where each word's begin in these, and how many it has."""
+    ends = np.append(at, len(features))
+    for lo in range(0, len(at), step):
+        hi = min(lo + step, len(at))
+        yield slice(lo, hi), features[ends[lo] : ends[hi]], ends[lo:hi] - ends[lo], np.diff(ends[lo : hi + 1]).astype(np.float32)
+
+
+def all_features(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``word_features`` of many texts, computed in slices of CHUNK bytes."""
+    parts = [word_features(texts[lo:hi]) for lo, hi in slices(map(len, texts), CHUNK)] or [word_features([])]
+    shift = np.cumsum([0, *(len(f) for f, _, _ in parts)])
+    words = np.cumsum([0, *(len(a) for _, a, _ in parts)])
+    at = np.concatenate([a + n for (_, a, _), n in zip(parts, shift, strict=False)])
+    of_text = np.concatenate([*(o[:-1] + n for (_, _, o), n in zip(parts, words, strict=False)), words[-1:]])
+    return np.concatenate([f.astype(np.int32) for f, _, _ in parts]), at, of_text
 
 
 def chain_messages(scores: np.ndarray, begins: np.ndarray, transitions: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -194,14 +213,13 @@ def fit(texts: list[str], langs: list[str], rounds: int = FIT_ROUNDS, seed: int
     """Fits weights and transitions by maximum likelihood (Adam on the whole sample, light L2)."""
     languages = sorted(set(langs))
     n_labels = len(languages)
-    features, at, of_text = word_features([t.lower().encode("utf-8", "surrogatepass") for t in texts])
+    features, at, of_text = all_features([t.lower().encode("utf-8", "surrogatepass") for t in texts])
     model = Model(languages, np.zeros((1 << FEATURE_BITS, n_labels), dtype=np.float32), np.zeros((n_labels, n_labels), dtype=np.float32))
     if n_labels < 2 or not len(at):
         return model
     words = [np.arange(a, b) for a, b in zip(of_text, of_text[1:], strict=False)]
     x, y = mixed_sequences(words, [languages.index(g) for g in langs], np.random.default_rng(seed))
-    counts = np.diff(np.append(at, len(features)))
-    owner, scale = np.repeat(np.arange(len(at)), counts), 1 / np.sqrt(counts)
+    scale = 1 / np.sqrt(np.diff(np.append(at, len(features))))
     begins = np.zeros(x.shape, dtype=bool)
     begins[:, 0] = True
     target = np.eye(n_labels)[y.ravel()]
@@ -216,7 +234,10 @@ def fit(texts: list[str], langs: list[str], rounds: int = FIT_ROUNDS, seed: int
         error = np.zeros((len(at), n_labels))
         for i in range(n_labels):
             error[:, i] = np.bincount(x.ravel(), (target - gamma)[:, i], len(at)) * scale
-        grad = np.stack([np.bincount(features, error[owner, i], 1 << FEATURE_BITS) for i in range(n_labels)], axis=1)
+        grad = np.zeros((1 << FEATURE_BITS, n_labels))
+        for block, mine, _, count in word_blocks(features, at):
+            for i in range(n_labels):
+                grad[:, i] += np.bincount(mine, np.repeat(error[block, i], count.astype(np.int64)), 1 << FEATURE_BITS)
         expect = expected_transitions(messages, begins.ravel())
         for k, (p, g) in enumerate(((model.weights, grad / len(at) * 100 - 1e-4 * model.weights), (model.transitions, (pairs - expect) / len(at)))):
             m[k] = 0.8 * m[k] + 0.2 * g

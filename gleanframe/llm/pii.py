@@ -14,7 +14,8 @@ Everything runs as Spark expressions and joins.
    titles before it show.
 4. Collision checks: a surrogate that two entities got goes to one of them, and one that is itself
    an entity of the corpus goes to none; the others try again. Each attempt draws from a larger
-   space, so the attempts end however many entities there are.
+   space, so the attempts end however many entities there are. As entities grow with the corpus,
+   no join of theirs is a broadcast.
 5. Texts with mentions are cut at them and joined again with the surrogates, laid out as the mention
    was. What stands between is searched for the full names and surnames of the same text's mentions,
    so a bare "John Smith" follows his titled self. A given name alone stays.
@@ -178,12 +179,12 @@ def assign(scratch: Scratch, entities: DataFrame, key: str) -> DataFrame:
     todo, done, i = entities, None, 0
     while True:
         tried = todo.withColumn("surrogate", surrogate(F.col("canon"), F.col("kind"), F.col("form"), key, i))
-        free = tried.join(entities.select(F.col("canon").alias("surrogate")).distinct(), "surrogate", "left_anti")
+        free = tried.join(entities.select(F.col("canon").alias("surrogate")).distinct().hint("merge"), "surrogate", "left_anti")
         if done is not None:
-            free = free.join(done.select("surrogate"), "surrogate", "left_anti")
+            free = free.join(done.select("surrogate").hint("merge"), "surrogate", "left_anti")
         won = scratch.table(f"won-{i}", free.groupBy("surrogate").agg(F.min(F.struct("canon", "kind")).alias("w")).select("w.kind", "w.canon", "surrogate"))
         done = won if done is None else done.unionByName(won)
-        todo = scratch.table(f"todo-{i}", todo.join(won.select("kind", "canon"), ["kind", "canon"], "left_anti"))
+        todo = scratch.table(f"todo-{i}", todo.join(won.select("kind", "canon").hint("merge"), ["kind", "canon"], "left_anti"))
         if todo.isEmpty():
             return done
         i += 1
@@ -200,7 +201,7 @@ def replaced_mentions(mentions: DataFrame, given: DataFrame) -> DataFrame:
     """(value, kind, surrogate, bare): the text that takes a mention's place; ``bare``: what of a name follows it in its text, longest first."""
     surname = given.select(F.col("kind").alias("of"), "canon", F.col("surrogate").alias("main"))
     first = given.where("kind = 'given'").select(F.col("canon").alias("given"), F.col("surrogate").alias("first"))
-    out = mentions.withColumn("of", F.when(F.col("kind") == "person", F.lit("surname")).otherwise(F.col("kind"))).join(surname, ["of", "canon"]).join(first, "given", "left")
+    out = mentions.withColumn("of", F.when(F.col("kind") == "person", F.lit("surname")).otherwise(F.col("kind"))).join(surname.hint("merge"), ["of", "canon"]).join(first.hint("merge"), "given", "left")
     name = F.when(F.col("ending"), F.concat("main", F.lit("а"))).otherwise(F.col("main"))
     out = out.withColumn("name", F.when(F.col("kind") == "person", name))
     shown = F.when(F.col("kind") == "person", F.concat_ws(" ", "title", "first", "name")).when(F.col("kind").isin("phone", "card", "ssn", "iban"), laid_out(F.col("value"), F.col("main")))
@@ -234,12 +235,12 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text", count: str | Non
     given = assign(scratch, scratch.table("entities", entities_of(mentions)), key)
     new = scratch.table("new", replaced_mentions(mentions, given))
     scratch.keep_only("marked", "new")
-    mapped = values.join(new, "value").groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("at", "surrogate", "kind"))).alias("new"), F.array_distinct(F.flatten(F.collect_list("bare"))).alias("bare"))
+    mapped = values.join(new.hint("merge"), "value").groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("at", "surrogate", "kind"))).alias("new"), F.array_distinct(F.flatten(F.collect_list("bare"))).alias("bare"))
     longest = F.array_sort("bare", lambda a, b: F.char_length(b["old"]) - F.char_length(a["old"]))
     follow = lambda piece: F.aggregate("bare", piece, lambda t, x: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}\p{N}@.])"), x["old"], F.lit(r"(?![\p{L}\p{N}@])")), x["new"]))
     pieces = F.transform(F.split(field(text), PATTERN, -1), follow)
     rebuilt = F.array_join(F.flatten(F.zip_with(pieces, F.transform("new", lambda x: x["surrogate"]), lambda p, s: F.array(p, F.coalesce(s, F.lit(""))))), "")
-    done = hit.select("row", "row_id").join(mapped.withColumn("bare", longest), "row_id").withColumn("rebuilt", rebuilt)
+    done = hit.select("row", "row_id").join(mapped.withColumn("bare", longest).hint("merge"), "row_id").withColumn("rebuilt", rebuilt)
     extra = lambda n, found_kinds: ([n.cast("long").alias(count)] if count else []) + ([found_kinds.alias(kinds)] if kinds else [])
     clean = marked.where(F.size("values") == 0).select(*[field(c).alias(c) for c in names], *extra(F.lit(0), F.array().cast("array<string>")))
     return clean.unionByName(done.select(*[F.col("rebuilt").alias(c) if c == text else field(c).alias(c) for c in names], *extra(F.size("new"), F.array_sort(F.array_distinct(F.transform("new", lambda x: x["kind"]))))))

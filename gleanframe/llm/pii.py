@@ -45,7 +45,8 @@ KINDS: dict[str, str] = {
     "ip6": r"(?<![\p{L}\d:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){2,6}+(?::[0-9A-Fa-f]{1,4}){1,5}+)(?![\p{L}\d:])",
     "person": rf"(?<![\p{{L}}\p{{N}}])(?:(?:{MALE}|{FEMALE}|{NEUTRAL})\.? {WORD}(?: {WORD})?+|(?:Name|Contact|Author): {WORD} {WORD})",
 }
-PATTERN = "|".join(KINDS.values())
+#: Nothing begins inside a word, or with other characters than these: one look tells so for all kinds.
+PATTERN = rf"(?<!\p{{L}})(?=[\p{{L}}\p{{N}}._%+(-])(?:{'|'.join(KINDS.values())})"
 SCRIPTS = {"cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}"}
 #: Names by script: given names of men and women; beginnings, middles and ends of surnames; ends of further given names.
 GIVEN = {

@@ -29,6 +29,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +55,9 @@ WORD = re.compile(r"[a-z]+")
 LEAST_PAGES, LEAST_SHARE, MENU_SHARE = 4, 0.5, 0.8
 LABEL_WORDS, LOOSE_TAGS = 8, frozenset("html body div section center".split())
 BROADCAST_BYTES = 16 << 20
+#: Tokens whose sums a task holds before it sends them on: about 30 MB.
+HELD_TOKENS = 60_000
+NOTHING = (0, 0, 0, 0)
 
 
 @dataclass
@@ -181,15 +185,11 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 def _token(*parts: str) -> int:
-    import xxhash
-
     return xxhash.xxh3_64_intdigest("\x00".join(parts)) >> 1
 
 
 def _under(path: int, mark: str) -> int:
     """The hash of a path with one more tag."""
-    import xxhash
-
     return xxhash.xxh3_64_intdigest(mark.encode("utf-8", "surrogatepass"), path) >> 1
 
 
@@ -277,7 +277,7 @@ def parse(page: str, slot: int | None = None) -> tuple[list[Block], dict[int, Sl
                         break
         _, path, chrome, main, inside_main, top, inside, link = stack[-1]
         attributes = _attributes(rest)
-        own = _is_chrome(tag, attributes)
+        own = _is_chrome(tag, attributes) if attributes else tag in CHROME_TAGS
         mark = f"{tag}.{attributes.get('class', '')}#{attributes.get('id', '')}" if attributes else tag
         up, path = path, _under(path, mark)
         if path not in found:
@@ -285,7 +285,7 @@ def parse(page: str, slot: int | None = None) -> tuple[list[Block], dict[int, Sl
         found[path].count += 1
         if tag in VOID or rest.endswith("/") and tag not in BLOCKS:
             continue
-        is_main = (tag in ("article", "main") or attributes.get("role", "").lower() == "main" or attributes.get("itemprop", "").lower() == "articlebody") and not own
+        is_main = not own and (tag in ("article", "main") or bool(attributes) and (attributes.get("role", "").lower() == "main" or attributes.get("itemprop", "").lower() == "articlebody"))
         # The head of an article may hold its title.
         soft = tag == "header" and main
         stack.append((tag, path, chrome or own, main or is_main, inside_main or (main and own and not soft), top and stack[-1][0] in ("", "html", "body"), inside or path == slot, link or tag == "a"))
@@ -311,32 +311,51 @@ COLUMNS = "host string, token long, up long, is_text long, pages long, lane1 lon
 
 
 def tokens_of(pages: DataFrame) -> DataFrame:
-    """Occurrence sums of each token of a host, and sums of what stands at it, added up within each batch."""
+    """Occurrence sums of each token of a host, and sums of what stands at it, added up within a task as far as HELD_TOKENS goes."""
     bound_batches(pages.sparkSession)
     names = [c.split()[0] for c in COLUMNS.split(", ")]
 
+    def added(sums: dict[tuple[str, int], list[int]], name: str, page: str) -> None:
+        blocks, slots = parse(page)
+        sign = _token(*(b.text for b in blocks if not b.chrome))
+        bit, lanes = 1 << (sign & 63), {}
+        # The page itself is token 0.
+        rows = [(p, (s.up, 0, s.depth), s.count, (s.words, s.heads, s.linked, s.own)) for p, s in slots.items()]
+        rows += [(_text_token(p, t), (p, 1, 0), n, NOTHING) for (p, t), n in Counter((b.path, b.text) for b in blocks).items()]
+        for token, (up, is_text, depth), n, more in rows:
+            if n not in lanes:
+                lanes[n] = _lanes(sign, n)
+            one, two = lanes[n]
+            s = sums.get((name, token))
+            if s is None:
+                sums[name, token] = [up, is_text, 1, one, two, bit, depth, *more]
+                continue
+            s[2] += 1
+            s[3] += one
+            s[4] += two
+            s[5] |= bit
+            if more is not NOTHING:
+                for i, x in enumerate(more, 7):
+                    s[i] += x
+
+    def emitted(sums: dict[tuple[str, int], list[int]]) -> Iterator[pa.RecordBatch]:
+        keys = list(sums)
+        for lo in range(0, len(keys), 10_000):
+            some = keys[lo : lo + 10_000]
+            rows = [sums[k] for k in some]
+            cols = [[k[0] for k in some], [k[1] for k in some], *([s[i] for s in rows] for i in range(11))]
+            cols[7] = [(x ^ (1 << 63)) - (1 << 63) for x in cols[7]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i == 0 else pa.int64()) for i, c in enumerate(cols)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, int], list[int]] = {}
         for batch in batches:
-            sums: dict[tuple[str, int], list[int]] = {}
             for name, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                blocks, slots = parse(page or "")
-                sign = _token(*(b.text for b in blocks if not b.chrome))
-                # The page itself is token 0.
-                rows = [(p, (s.up, 0, s.depth), s.count, (s.words, s.heads, s.linked, s.own)) for p, s in slots.items()]
-                rows += [(_text_token(p, t), (p, 1, 0), n, (0, 0, 0, 0)) for (p, t), n in Counter((b.path, b.text) for b in blocks).items()]
-                for token, (up, is_text, depth), n, more in rows:
-                    one, two = _lanes(sign, n)
-                    s = sums.setdefault((name, token), [up, is_text, 0, 0, 0, 0, depth, 0, 0, 0, 0])
-                    s[2] += 1
-                    s[3] += one
-                    s[4] += two
-                    s[5] |= 1 << (sign & 63)
-                    for i, x in enumerate(more):
-                        s[7 + i] += x
-            for s in sums.values():
-                s[5] = (s[5] ^ (1 << 63)) - (1 << 63)
-            cols = [[k[0] for k in sums], [k[1] for k in sums], *([s[i] for s in sums.values()] for i in range(11))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i == 0 else pa.int64()) for i, c in enumerate(cols)], names)
+                added(sums, name, page or "")
+                if len(sums) >= HELD_TOKENS:
+                    yield from emitted(sums)
+                    sums = {}
+        yield from emitted(sums)
 
     found = pages.select(host().alias("host"), "html").mapInArrow(run, COLUMNS)
     return found.groupBy("host", "token").agg(

@@ -8,9 +8,8 @@
 4. Such pairs are confirmed on the full sets. Every member of a bucket is tested against a leader
    of the bucket that it is likely to be linked to, then, twice, against the likeliest member of
    another component; that joins large groups of near copies by few tests. At last all pairs that
-   remain between different components are tested. No estimate
-   drops any of them: only sizes do, and parities of 4096 parts of the sets, which show a number of
-   differing shingles that the two have at least.
+   remain between different components are tested. No estimate drops any of them: only sizes do, and
+   parities of 4096 parts of the sets, which show how many shingles differ at least.
    So no link between different components goes untested, yet no group is expanded into all pairs.
 Two sets at the threshold of 0.8 share no band with a chance of (1 - 0.8**4)**32 < 5e-8.
 """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,20 +14,30 @@ from pyspark.sql import types as T
 ELLIPSIS = "…"
 #: What Python calls white space: Unicode White_Space and four separators.
 SPACES = r"(?U)[\s\x{1c}-\x{1f}]+"
+#: What SQL's pattern \s takes for white space, and the space separators that its trim takes off the ends.
+SQL_SPACES = r"[\t\n\f\r ]+"
+SQL_ENDS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 
-def collapse(value: Column) -> Column:
+def squeeze(value: Column, spaces: str = SPACES, ends: str = " ") -> Column:
+    """White space as one space, without the characters ``ends`` at its ends; blanks are empty."""
+    return F.trim(F.regexp_replace(value, spaces, " "), F.lit(ends))
+
+
+def collapse(value: Column, spaces: str = SPACES, ends: str = " ") -> Column:
     """White space as one space, trimmed; null where nothing is left."""
-    return F.nullif(F.trim(F.regexp_replace(value, SPACES, " ")), F.lit(""))
+    return F.nullif(squeeze(value, spaces, ends), F.lit(""))
 
 
-def shorten(value: Column, limit: int) -> Column:
-    """At most ``limit`` code points; a longer text ends in an ellipsis after its last word mark."""
-    cut = F.concat(F.regexp_replace(F.substring(value, 1, limit), r"(?U)[\s\x{1c}-\x{1f}]+$", ""), F.lit(ELLIPSIS))
-    return F.when(F.char_length(value) > limit, cut).otherwise(value)
+def shorten(value: Column, limit: int, ends: str | None = None) -> Column:
+    """At most ``limit`` code points; a longer text ends in an ellipsis after its last word mark (before any of ``ends``)."""
+    head = F.substring(value, 1, limit)
+    head = F.rtrim(head, F.lit(ends)) if ends else F.regexp_replace(head, rf"{SPACES}$", "")
+    return F.when(F.char_length(value) > limit, F.concat(head, F.lit(ELLIPSIS))).otherwise(value)
 
 
-_TAG = re.compile(r"<[^>]*>")
+TAG = r"<[^>]*>"
+_TAG = re.compile(TAG)
 
 
 @F.pandas_udf(T.StringType())
@@ -40,6 +50,15 @@ def plain(value: Column, limit: int = 600) -> Column:
     return shorten(collapse(_text_of_markup(value)), limit)
 
 
+def plain_of(value: Column, references: Mapping[str, str], limit: int = 600) -> Column:
+    """Markup as plain text where only these references count, each as it is written, and white space is SQL's."""
+    text = F.regexp_replace(value, TAG, " ")
+    for reference, mark in sorted(references.items(), key=lambda r: r[1] == "&"):  # the ampersand last: nothing is decoded twice
+        text = F.replace(text, F.lit(reference), F.lit(mark))
+    # As an item of a list the text is worked out once, however often the rest names it.
+    return F.get(F.transform(F.array(collapse(text, SQL_SPACES, SQL_ENDS)), lambda t: shorten(t, limit, SQL_ENDS)), 0)
+
+
 def _nfkc(value: Column) -> Column:
     return F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), value, F.lit(True))
 

@@ -12,7 +12,7 @@ from gleanframe.functions.identity import listing_id
 from gleanframe.functions.numbers import as_number, number_text
 from gleanframe.operators import assess, collect, delivery, extraction, rules, templates
 from gleanframe.operators.predicates import is_login_page, is_posting_url, looks_like_json, plausible_title
-from gleanframe.plans import cycle
+from gleanframe.plans import catalogue, cycle
 from gleanframe.sources import extract
 from gleanframe.sources import defaults
 from gleanframe.sources.fetch import LoginWall, PagesDataSource, Reader, robots_rules
@@ -41,6 +41,28 @@ def test_text_functions(spark):
     assert values(spark, tx.lines_kept(F.col("v"), ["T"], r"^\d+$"), [("T\n x  y \n12\nx y\nz",)], "v string") == ["x y z"]
 
 
+#: Texts on which Python's white space and HTML's references differ from those of the catalogue's SQL.
+ODD_TEXTS = [
+    None, "", " ", "\n\t", "\u00a0", "a\u00a0 b\u3000", "\u2003a\x0bb\x1cc\x85\u2028 ", "\x0b", "Bleiner &amp p", "x &lt y &quot &#169; &mdash; &AMP; &amp;lt; &amp;amp;",
+    "<p\nclass=a>b</p>&nbsp;&copy;&middot;&quot;<", "w" * 599 + " " + "x" * 9, "w" * 598 + "\u00a0 " + "x" * 9, "w" * 599 + "\x0b" + "x" * 9, "\U0001f926" * 600, "\U0001f926e\u0301" * 301, "&nbsp;" * 3, "<b>", "w &amp" * 200,
+]
+
+
+def odd_query(spark, folder, name, table):
+    """A query and its SQL over the odd texts, as rows in order."""
+    duckdb = pytest.importorskip("duckdb")
+    column = {"pages": "page_id long, html string", "documents": "doc_id long, text string"}[table]
+    spark.createDataFrame(list(enumerate(ODD_TEXTS)), column).coalesce(1).write.parquet(f"{folder}/{table}.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view {table} as select * from '{folder}/{table}.parquet/*.parquet'")
+    return sorted(map(tuple, catalogue.QUERIES[name](spark, str(folder)).collect())), sorted(c.execute(catalogue.SQL[name]).fetchall())
+
+
+def test_html_text_decodes_what_its_sql_does(spark, tmp_path):
+    got, want = odd_query(spark, tmp_path, "html_text", "pages")
+    assert got == want and got[8] == (8, "Bleiner &amp p")
+
+
 def test_numbers(spark):
     rows = [("80",), ("high",), ("1,500.5",), ("12d",), ("1_000",), (" 7 ",), ("nan",), ("1__0",), (None,)]
     got = values(spark, as_number(F.col("v")), rows, "v string")

@@ -10,6 +10,8 @@ from collections.abc import Iterable, Iterator, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gleanframe.session import BATCH_BYTES, bound_batches  # noqa: F401  the operators take both from here
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it.
@@ -26,17 +28,6 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: The most that a batch of rows between Spark and a Python worker takes, but for a single longer row.
-BATCH_BYTES = 2 << 20
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Bounds batches by bytes, whatever the length of the texts; a bound that the session names stays."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name, None) is None:
-        spark.conf.set(name, str(BATCH_BYTES))
-
-
 def slices(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
     """Runs (from, to) of rows that take at most ``limit`` bytes together, or are a single longer row."""
     lo, hi, held = 0, 0, 0

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -11,24 +12,40 @@ from pyspark.sql import types as T
 
 from gleanframe.functions.text import host
 from gleanframe.operators.predicates import in_chrome, is_posting_url, looks_like_json, plausible_title
+from gleanframe.session import bound_batches
 from gleanframe.sources import extract
 
 ANCHORS = "pos int, url string, title string, tags array<string>, blobs array<string>"
 ROWS = ", ".join(f"{f} string" for f in extract.FIELDS)
+#: The most rows that wait to go back to Spark, and the text in them after which they go, in code points.
+HELD_ROWS, HELD_CHARS = 2000, 1 << 19
 
 
-def _spread(pages: DataFrame, keep: list[str], rows, schema: str) -> DataFrame:
-    """Calls ``rows`` with each page's dict; its rows stand beside the kept columns. Batches come out in small pieces."""
+def _chars(value: Any) -> int:
+    """The text in a field: a string's, or that of a list of strings."""
+    return len(value) if isinstance(value, str) else sum(map(len, value)) if isinstance(value, list) else 0
+
+
+def _spread(pages: DataFrame, keep: list[str], rows: Callable[[dict], Iterable[dict]], schema: str) -> DataFrame:
+    """Calls ``rows`` with each page's dict; its rows stand beside the kept columns.
+
+    A worker holds one batch, bounded by bytes, and a bounded piece of what comes out.
+    """
+    bound_batches(pages.sparkSession)
     out = T.StructType([pages.schema[c] for c in keep] + list(T.StructType.fromDDL(schema).fields))
+    blank = {f.name: None for f in out.fields if f.name not in keep}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: list[dict] = []
+            held, size = [], 0
             for page in batch.to_pylist():
-                held += [{c: page[c] for c in keep} | {f.name: None for f in out.fields if f.name not in keep} | row for row in rows(page)]
-                if len(held) >= 2000:
-                    yield pa.RecordBatch.from_pylist(held, types)
-                    held = []
+                kept = {c: page[c] for c in keep} | blank
+                for row in rows(page):
+                    held.append(kept | row)
+                    size += sum(map(_chars, held[-1].values()))
+                    if len(held) >= HELD_ROWS or size >= HELD_CHARS:
+                        yield pa.RecordBatch.from_pylist(held, types)
+                        held, size = [], 0
             if held:
                 yield pa.RecordBatch.from_pylist(held, types)
 
@@ -67,7 +84,7 @@ def listings(pages: DataFrame, *keep: str, parsers: Mapping[str, extract.Parser]
     keep = tuple(dict.fromkeys([*keep, "page_url"]))
     read = pages.select(*keep, "body", "parser", looks_like_json(F.coalesce("body", F.lit("")), F.coalesce("content_type", F.lit(""))).alias("is_json"))
 
-    def rows(page: dict) -> list[dict]:
+    def rows(page: dict) -> Iterable[dict]:
         body, url = page["body"] or "", page["page_url"] or ""
         if page["parser"]:
             found = known[page["parser"]](body, url)
@@ -77,8 +94,8 @@ def listings(pages: DataFrame, *keep: str, parsers: Mapping[str, extract.Parser]
             tree = extract.parse(body)
             found = extract.from_json_ld(tree, url)
             if not found:
-                return [{"is_link": True, **link} for link in extract.anchors(tree, url)]
-        return [{"is_link": False, "pos": i, **row} for i, row in enumerate(found)]
+                return ({"is_link": True, **link} for link in extract.anchors(tree, url))
+        return ({"is_link": False, "pos": i, **row} for i, row in enumerate(found))
 
     parsed = _spread(read, list(keep), rows, f"is_link boolean, pos int, {ROWS}, tags array<string>, blobs array<string>")
     links = parsed.withColumn("in_chrome", F.col("is_link") & in_chrome(F.coalesce("tags", F.array()), F.coalesce("blobs", F.array()))).drop("tags", "blobs")

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import random
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from gleanframe.functions.numbers import as_number, number_text
 from gleanframe.operators import assess, collect, delivery, extraction, rules, templates
 from gleanframe.operators.predicates import is_login_page, is_posting_url, looks_like_json, plausible_title
 from gleanframe.plans import catalogue, cycle
+from gleanframe.session import BATCH_BYTES
 from gleanframe.sources import extract
 from gleanframe.sources import defaults
 from gleanframe.sources.fetch import LoginWall, PagesDataSource, Reader, robots_rules
@@ -69,6 +71,16 @@ def test_blank_and_odd_texts_equal_their_sql(spark, tmp_path, name):
     assert got == want and got[1] == (1, "" if name == "truncate_ellipsis" else None)
 
 
+def test_pages_reach_python_in_batches_bounded_by_bytes(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    pages = spark.range(40).select("id", F.repeat(F.lit("x"), 500_000).alias("body")).coalesce(1)
+    sizes = extraction._spread(pages, ["id"], lambda page: [{"n": sys._getframe(1).f_locals["batch"].nbytes}] * 3, "n long").collect()
+    assert len(sizes) == 120 and max(r.n for r in sizes) <= BATCH_BYTES + 600_000
+    links = "".join(f"<a href='/jobs/{i}'>A job with number {i}</a>" for i in range(5000))
+    rows = extraction.listings(spark.createDataFrame([(links, "https://x.com", "", None)], "body string, page_url string, content_type string, parser string"))
+    assert rows.where("url = concat('https://x.com/jobs/', pos) and title = concat('A job with number ', pos)").count() == 4900
+
+
 def test_numbers(spark):
     rows = [("80",), ("high",), ("1,500.5",), ("12d",), ("1_000",), (" 7 ",), ("nan",), ("1__0",), (None,)]
     got = values(spark, as_number(F.col("v")), rows, "v string")

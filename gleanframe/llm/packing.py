@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, running_start
-from .token_files import as_ids
+from .token_files import ids_of
 
 DIMENSIONS, BITS, SEED = 3, 10, 20_011
 
@@ -78,9 +78,9 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end: int = 2, voca
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signs, part, no = sign_table(vocabulary), TaskContext.get().partitionId(), 0
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            doc_ids = batch.column(0).to_pylist()
             for lo in range(0, len(doc_ids), 500):
-                ids = [as_ids(tokenizer, t, end, 2, kind) for t in texts[lo : lo + 500]]
+                ids = list(ids_of(tokenizer, batch.column(1).slice(lo, 500), end, 2, kind))
                 n = len(ids)
                 row_ids = [(part << 36) + no + i for i in range(n)]
                 no += n

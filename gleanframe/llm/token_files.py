@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +38,19 @@ SAMPLE_DOCUMENTS, SAMPLE_TEXT_BYTES, DICTIONARY_BYTES = 500, 128 << 10, 64 << 10
 ROW_GROUP_BYTES = 8 << 20
 
 
-def as_ids(path: str, text: str | None, end: int, width: int, kind: str = "bytes") -> np.ndarray:
-    ids = np.frombuffer(encoder(path, kind).encode(text or ""), dtype="<u4")
+def ids_of(path: str, texts: pa.Array, end: int, width: int, kind: str = "bytes") -> Iterator[np.ndarray]:
+    """The ids of each text, null being empty, with the end id."""
+    ids, firsts = encoder(path, kind).encode_all(texts)
     if width == 2 and max(end, int(ids.max(initial=0))) > 0xFFFF:
         raise ValueError("an id needs more than 16 bits; write with width 4")
-    return np.append(ids, np.uint32(end)).astype("<u2" if width == 2 else "<u4")
+    ids = ids.astype("<u2" if width == 2 else "<u4")
+    last = np.array([end], dtype=ids.dtype)
+    for a, b in pairwise(firsts.tolist()):
+        yield np.concatenate([ids[a:b], last])
+
+
+def as_ids(path: str, text: str | None, end: int, width: int, kind: str = "bytes") -> np.ndarray:
+    return next(ids_of(path, pa.array([text], pa.string()), end, width, kind))
 
 
 def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
@@ -94,8 +103,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 0, width
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(one, types, strict=True)], [c.split()[0] for c in SHARDS.split(", ")])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = as_ids(tokenizer, text, end, width)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), ids_of(tokenizer, batch.column(1), end, width), strict=True):
                 frames.append(press.compress(ids.tobytes()))
                 at.append(at[-1] + len(frames[-1]))
                 doc_ids.append(doc_id)

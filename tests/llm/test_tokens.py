@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -91,6 +92,46 @@ def test_kept_pieces_are_bounded_by_bytes(monkeypatch):
             assert sum(encoding.ENTRY_BYTES + 2 * len(k) + len(v) for k, v in kept.items()) <= 4000 and all(len(k) <= encoding.LONGEST_PIECE for k in kept)
 
 
+@pytest.mark.parametrize(("path", "kind"), [(BYTES, "bytes"), (WORDS, "words")])
+@pytest.mark.parametrize("window", [5, 64, 2 << 20])
+def test_texts_encode_together_as_each_alone(monkeypatch, path, kind, window):
+    monkeypatch.setattr(encoding, "WINDOW_BYTES", window, raising=False)
+    monkeypatch.setattr(encoding, "JOINED_WORDS", 3, raising=False)
+    monkeypatch.setattr(encoding, "WORD_BYTES", 4000)
+    mine, theirs = PieceEncoder(path, kind), Tokenizer.from_file(path)
+    more = ["x \xa0<|endoftext|>", "a\xa0 b", "x\u2003 y.z", "é.ñ,×.à!»?", "İ, ", "a.\nb.\n c.\n\nd\r\n e", "'s.'ll,x", "\n", "tab\tand tab\n", "mañana, Größe; l'été: 3,5", "\x00 a\x00b"]
+    texts = [x for i, odd in enumerate([*ODD, *more]) for x in (odd, f"wordy{i} {odd} {odd}\n{odd}.{odd}")]
+    ids, firsts = mine.encode_all(pa.array(["left out", *texts, None]).slice(1))
+    assert len(firsts) == len(texts) + 2 and firsts[-1] == firsts[-2] == len(ids)
+    for text, a, b in zip(texts, firsts, firsts[1:], strict=False):
+        assert ids[a:b].tolist() == theirs.encode(text, add_special_tokens=False).ids, repr(text)
+    assert sum(encoding.ENTRY_BYTES + 2 * len(k) + len(v) for k, v in mine.items()) <= 4000 and all(len(k) <= encoding.LONGEST_PIECE for k in mine)
+
+
+def test_new_words_share_calls_of_the_library():
+    class Counted:
+        def __init__(self, model):
+            self.model, self.calls = model, 0
+
+        def tokenize(self, run):
+            self.calls += 1
+            return self.model.tokenize(run)
+
+    kept = encoding.encoder(BYTES, "bytes")
+    counted = kept.model = Counted(kept.model)
+    text = " ".join(chr(97 + i % 26) + chr(97 + i // 26 % 26) + "ñqé" + chr(97 + i // 676) for i in range(5000))
+    try:
+        assert as_ids(BYTES, text, 0, 2)[:-1].tolist() == Tokenizer.from_file(BYTES).encode(text, add_special_tokens=False).ids
+    finally:
+        kept.model = counted.model
+    assert counted.calls <= 50
+
+
+@pytest.mark.parametrize(("path", "kind", "text"), [(BYTES, "bytes", "x \xa0<|endoftext|>" + "y" * 64), (WORDS, "words", "İ, é")])
+def test_marks_and_added_tokens_behind_odd_characters(path, kind, text):
+    assert as_ids(path, text, 0, 4, kind)[:-1].tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
 def test_ids_that_need_more_bits_are_refused():
     with pytest.raises(ValueError):
         as_ids(BYTES, "a", 70_000, 2)
